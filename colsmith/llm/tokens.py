@@ -13,10 +13,16 @@ import re
 import numpy as np
 
 #: White space for certain is tab, line feed, carriage return and space; these may or may not be.
-_UNSURE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0 ᠎ -‏ -  -⁯　﻿]")
+_UNSURE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 _PIECE = re.compile(r" ?[^\t\n\r ]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class _Index(dict):
     """Numbers pieces by first sight; pieces not seen before also go to `new`."""
 
@@ -39,6 +45,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        back = {c: b for b, c in _byte_letters().items()}
+        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.bytes[k] = len(token) if all(c in back for c in token) else len(token.encode())
         self.most_pieces, self.most_chars = most_pieces, most_chars
         self._reset()
 
@@ -49,13 +59,27 @@ class Encoder:
         new, self.index.new = self.index.new, []
         if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        # Pieces that begin with a space and have no other are encoded end to end, and the ids cut at the pieces' byte lengths.
+        joined = [k for k, p in enumerate(new) if p[0] == " " and len(p) > 1]
+        sizes = np.zeros(len(new), np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join([new[k] for k in joined])], add_special_tokens=False)[0].ids, np.uint32) if joined else np.zeros(0, np.uint32)
+        borders = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(new[k].encode()) for k in joined]))
+        sizes[joined] = np.diff(borders, prepend=-1)
+        alone = {k: self.tokenizer.encode(p, add_special_tokens=False).ids for k, p in enumerate(new) if p[0] != " " or len(p) == 1}
+        for k, x in alone.items():
+            sizes[k] = len(x)
+        ends = np.cumsum(sizes)
+        flat = np.zeros(ends[-1], np.uint32)
+        from_alone = np.zeros(len(new), bool)
+        from_alone[list(alone)] = True
+        mask = np.repeat(from_alone, sizes)
+        flat[~mask] = ids
+        flat[mask] = [i for x in alone.values() for i in x]
         known = len(self.index) - len(new)
-        ends = (self.ends[known - 1] if known else 0) + np.cumsum([len(x) for x in found])
+        ends = ends + (self.ends[known - 1] if known else 0)
         while len(self.ends) < len(self.index):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.ends[known : len(self.index)] = ends
-        flat = np.fromiter((i for x in found for i in x), np.uint32)
         while len(self.ids) < ends[-1]:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[ends[-1] - len(flat) : ends[-1]] = flat
