@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colsmith.llm import packing, token_files
+from colsmith.llm import decontaminate, exact_dedup, packing, simhash, substring_dedup, token_files
 from colsmith.llm.common import new_path
 
 
@@ -20,18 +20,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-orc")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
     return token_files.token_index(spark, path)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_winnowing_decontamination": op1_winnowing_decontamination,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_token_orc": op9_token_orc,
+    "op10_substring_dedup": op10_substring_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_winnowing_decontamination": decontaminate.SQL,
+    "op6_exact_dedup": exact_dedup.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
