@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsmith.llm.common import materialize, sub_batches, text_or_empty
-from colsmith.llm.tokens import Encoder
+from colsmith.llm.tokens import BATCH_CHARS, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -96,12 +96,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     """One row a piece: doc_id, piece, start, length, ids_crc32 and, with_ids, the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        tokens = encoder(tokenizer)
         for batch in batches:
             chars = np.array(batch.column(2), np.int64)
-            for a, b in sub_batches(chars):
+            for a, b in sub_batches(chars, BATCH_CHARS):
                 part = batch.slice(a, b - a)
-                n, ids = encoder.encode(part.column(1).to_pylist())
+                n, ids = tokens.encode(part.column(1))
                 ends = np.cumsum(n)
                 rows: list[tuple] = []
                 blobs: list[np.ndarray] = []

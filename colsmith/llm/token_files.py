@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from colsmith.llm.common import sub_batches, text_or_empty
-from colsmith.llm.tokens import Encoder
+from colsmith.llm.tokens import BATCH_CHARS, encoder
 
 STORED = "doc_id long, part int, start_in_part long, n_tokens int, ids array<int>"
 
@@ -31,11 +31,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pa
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        tokens, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a, b in sub_batches(np.array(batch.column(2), np.int64)):
+            for a, b in sub_batches(np.array(batch.column(2), np.int64), BATCH_CHARS):
                 own = batch.slice(a, b - a)
-                n, ids = encoder.encode(own.column(1).to_pylist())
+                n, ids = tokens.encode(own.column(1))
                 ends = np.cumsum(n)
                 flat = np.insert(ids.astype(np.int32), ends, end_id)
                 n = n + 1

@@ -1,8 +1,10 @@
 """Token ids of whole texts by the tokenizers library, encoding each distinct piece between safe boundaries once per worker.
 
-A byte-level BPE with the usual pre-tokenizer never joins a word with the one before the space in front of it, so a text can be
-cut there, each distinct piece encoded once, and the ids put together by numpy. Texts with characters of which it isn't certain
-whether the pre-tokenizer takes them for white space, or with a special token's string, are encoded whole.
+A byte-level BPE with the usual pre-tokenizer never joins a word with the one before the space in front of it. So Arrow cuts texts
+at single spaces and finds the distinct segments, each of which is encoded once and kept; numpy puts the ids together. A segment of
+letters and closing punctuation is two pre-tokens, which go straight to the library's BPE model. Texts in which a space touches
+other white space, or with characters of which it isn't certain whether the pre-tokenizer takes them for white space, or with a
+special token's string, are encoded whole.
 """
 
 from __future__ import annotations
@@ -11,101 +13,121 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: White space for certain is tab, line feed, carriage return and space; these may or may not be.
-_UNSURE = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
-_PIECE = re.compile(r" ?[^\t\n\r ]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]")
+_UNSURE = r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}"
+_ODD = rf"[{_UNSURE}\t\r]| [\n ]|\n |\A | \z|\n\n\n|\n\n\z"
+_PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
+#: Characters of text that are cut and encoded at once.
+BATCH_CHARS = 6_000_000
 
-def _byte_letters() -> dict[int, str]:
+
+def _byte_letters() -> dict[int, int]:
     """The letter by which a byte-level vocabulary writes each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
-
-
-class _Index(dict):
-    """Numbers pieces by first sight; pieces not seen before also go to `new`."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self.new.append(piece)
-        self[piece] = n = len(self)
-        return n
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
 
 
 class Encoder:
-    """Same ids as Tokenizer.encode(text, add_special_tokens=False), text by text, with a bounded cache of pieces."""
+    """Same ids as Tokenizer.encode(text, add_special_tokens=False), text by text, with bounded caches."""
 
-    def __init__(self, path: str, most_pieces: int = 600_000, most_chars: int = 12_000_000) -> None:
+    def __init__(self, path: str, most_pieces: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        back = {c: b for b, c in _byte_letters().items()}
-        self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, k in self.tokenizer.get_vocab().items():
-            self.bytes[k] = len(token) if all(c in back for c in token) else len(token.encode())
-        self.most_pieces, self.most_chars = most_pieces, most_chars
+        self.letters = _byte_letters()
+        self.most_pieces = most_pieces
         self._reset()
 
     def _reset(self) -> None:
-        self.index, self.ids, self.ends, self.chars = _Index(), np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
-
-    def _learn(self) -> None:
-        new, self.index.new = self.index.new, []
-        if not new:
-            return
-        # Pieces that begin with a space and have no other are encoded end to end, and the ids cut at the pieces' byte lengths.
-        joined = [k for k, p in enumerate(new) if p[0] == " " and len(p) > 1]
-        sizes = np.zeros(len(new), np.int64)
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join([new[k] for k in joined])], add_special_tokens=False)[0].ids, np.uint32) if joined else np.zeros(0, np.uint32)
-        borders = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(new[k].encode()) for k in joined]))
-        sizes[joined] = np.diff(borders, prepend=-1)
-        alone = {k: self.tokenizer.encode(p, add_special_tokens=False).ids for k, p in enumerate(new) if p[0] != " " or len(p) == 1}
-        for k, x in alone.items():
-            sizes[k] = len(x)
-        ends = np.cumsum(sizes)
-        flat = np.zeros(ends[-1], np.uint32)
-        from_alone = np.zeros(len(new), bool)
-        from_alone[list(alone)] = True
-        mask = np.repeat(from_alone, sizes)
-        flat[~mask] = ids
-        flat[mask] = [i for x in alone.values() for i in x]
-        known = len(self.index) - len(new)
-        ends = ends + (self.ends[known - 1] if known else 0)
-        while len(self.ends) < len(self.index):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ends[known : len(self.index)] = ends
-        while len(self.ids) < ends[-1]:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[ends[-1] - len(flat) : ends[-1]] = flat
-        self.chars += sum(map(len, new))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each text, all ids one after the other)."""
-        if len(self.index) > self.most_pieces or self.chars > self.most_chars:
+        self.slots: dict[str, int] = {"": 0}  # of letters, or marks, as one pre-token; after a zero byte, of any piece
+        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _pre_token(self, text: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))]
+
+    def _slots_of(self, keys: list[str]) -> np.ndarray:
+        slots = self.slots
+        new = list(dict.fromkeys([k for k in keys if k not in slots]))
+        if new:
+            found = [self._whole(k[1:]) if k[0] == "\0" else self._pre_token(k) for k in new]
+            known, sizes = len(slots), [len(x) for x in found]
+            ends = self.ends[known - 1] + np.cumsum(sizes)
+            slots.update(zip(new, range(known, known + len(new))))
+            while len(self.ends) < len(slots):
+                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.ends[known : len(slots)] = ends
+            while len(self.ids) < ends[-1]:
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[ends[-1] - sum(sizes) : ends[-1]] = [i for x in found for i in x]
+        return np.fromiter(map(slots.__getitem__, keys), np.int64, len(keys))
+
+    def _units(self, segments: pa.Array, space: str) -> np.ndarray:
+        """(slot of the word, slot of the marks) of each segment; one that isn't letters and marks is a word as a whole."""
+        parts = pc.extract_regex(segments, _PLAIN)
+        plain = np.asarray(parts.is_valid())
+        out = np.zeros((len(segments), 2), np.int64)
+        fine = parts.filter(pa.array(plain))
+        for k, front in enumerate((space, "")):
+            coded = pc.dictionary_encode(fine.field(k))
+            out[plain, k] = self._slots_of([front + w if w else "" for w in coded.dictionary.to_pylist()])[np.asarray(coded.indices)]
+        out[~plain, 0] = self._slots_of(["\0" * (x != "\n") + (space if x != "\n" else "") + x if x else "" for x in segments.filter(pa.array(~plain)).to_pylist()])
+        return out
+
+    def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.slots) > self.most_pieces:
             self._reset()
-        pieces: list[str] = []
-        ends, whole = [], {}
-        for k, text in enumerate(texts):
-            if _UNSURE.search(text) or any(s in text for s in self.special):
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-            else:
-                pieces += _PIECE.findall(text)
-            ends.append(len(pieces))
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        self._learn()
-        end = self.ends[at] if len(at) else np.zeros(0, np.int64)
-        start = np.where(at > 0, self.ends[at - 1], 0) if len(at) else end
-        size = end - start
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        offsets = np.asarray(cut.offsets).astype(np.int64)
+        values = cut.values
+        coded = pc.dictionary_encode(values)
+        at = np.asarray(coded.indices)
+        units = self._units(coded.dictionary, " ")[at]
+        bare = np.zeros(len(at), bool)  # segments without a space in front: at the beginning or after a line feed
+        bare[offsets[:-1]] = True
+        line = coded.dictionary.index("\n").as_py()
+        if line >= 0:
+            bare[1:] |= at[:-1] == line
+        alone = pc.dictionary_encode(values.filter(pa.array(bare)))
+        units[bare] = self._units(alone.dictionary, "")[np.asarray(alone.indices)]
+        slots = units.ravel()
+        start = np.where(slots > 0, self.ends[slots - 1], 0)
+        size = self.ends[slots] - start
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(start - total[:-1], size) + np.arange(total[-1])]
-        cuts = total[np.array([0, *ends])]
-        if not whole:
-            return np.diff(cuts), ids
-        parts = [whole.get(k, ids[a:b]) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-        return np.array([len(p) for p in parts]), np.concatenate(parts)
+        return np.diff(total[2 * offsets]), ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids one after the other)."""
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.equal(pc.binary_length(texts), 0))
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        odd = np.asarray(odd)
+        if not odd.any():
+            return self._regular(texts)
+        n, ids = self._regular(texts.filter(pa.array(~odd))) if not odd.all() else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        others = [np.array(self._whole(t), np.uint32) for t in texts.filter(pa.array(odd)).to_pylist()]
+        size = np.zeros(len(odd), np.int64)
+        size[~odd], size[odd] = n, [len(x) for x in others]
+        out = np.empty(size.sum(), np.uint32)
+        mask = np.repeat(odd, size)
+        out[~mask], out[mask] = ids, np.concatenate(others)
+        return size, out
+
+
+_SHARED: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder; tasks that follow one another in a worker go on with its caches."""
+    if path not in _SHARED:
+        _SHARED[path] = Encoder(path)
+    return _SHARED[path]
