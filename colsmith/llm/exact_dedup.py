@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from colsmith.llm.common import hot_keys, join_by_key, materialize, text_or_empty
 
 SALTS = 32
+#: A column of our own beside those of the input, whatever they are called.
+_KEY = "__colsmith_text_digest"
 
 
 def normalised(text: Column) -> Column:
@@ -57,11 +59,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; rows repeating doc_id and text leave one."""
     kept = groups(docs).where("kept").groupBy(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")).agg(F.count("*").alias("_n"))
     kept = materialize(kept, "kept")
-    rows = docs.withColumn("_key", F.unhex(F.sha2(normalised(text_or_empty()), 256)))
-    left = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (rows["_key"] == kept["_digest"]), "left_semi")
+    rows = docs.withColumn(_KEY, F.unhex(F.sha2(normalised(text_or_empty()), 256)))
+    left = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (rows[_KEY] == kept["_digest"]), "left_semi")
     if not kept.where("_n > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "_key"])
-    return left.drop("_key")
+        left = left.dropDuplicates(["doc_id", _KEY])
+    return left.drop(_KEY)
 
 
 SQL = """
