@@ -29,9 +29,11 @@ from colsmith.llm.common import text_or_empty
 from colsmith.llm.words import WordHashes, mix
 
 #: Characters of text in a chunk, about.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 4_000_000
 #: Weight of the unigram model in tokens, weight of a word never seen, and the nominal size of the vocabulary that both models share.
 MU, ALPHA, VOCABULARY = 4.0, 0.1, 1 << 20
+#: Bits of a hash that are sent.
+BITS = 34
 _ALL = np.uint64(0)  # stands for the number of all tokens
 _BEGIN = np.uint64(0x6A09E667F3BCC909)
 _UNI = np.uint64(0x3C6EF372FE94F82B)
@@ -58,30 +60,52 @@ def _grams(texts: list[str], good: np.ndarray) -> tuple:
     """The chunk's distinct grams, sorted, with background and target counts, and each token's places among them."""
     doc, uni, bi, context = _tokens(texts)
     heads = doc[context == _HEAD]  # a document's first token follows a mark of its own, which is counted once a document
-    stream = np.concatenate([uni, bi, np.full(len(heads), _HEAD), np.full(len(uni), _ALL)])
-    weight = np.concatenate([good[doc], good[doc], good[heads], good[doc]])
-    grams, place = np.unique(stream, return_inverse=True)
-    b = np.bincount(place, minlength=len(grams)).astype(np.int64)
-    t = np.bincount(place, weights=weight, minlength=len(grams)).astype(np.int64)
     n = len(uni)
-    return grams, b, t, doc, place[:n], place[n : 2 * n], np.searchsorted(grams, context)
+    if not n:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 6
+    grams, place = np.unique(np.concatenate([uni, bi, np.full(len(heads), _HEAD)]), return_inverse=True)
+    place += 1  # place 0 is that of all tokens
+    weight = np.concatenate([good[doc], good[doc], good[heads]])
+    b = np.bincount(place, minlength=len(grams) + 1).astype(np.int64)
+    t = np.bincount(place, weights=weight, minlength=len(grams) + 1).astype(np.int64)
+    b[0], t[0] = n, good[doc].sum()
+    grams = np.concatenate([[_ALL], grams])
+    before = np.concatenate([place[:1], place[: n - 1]])
+    before[context == _HEAD] = np.searchsorted(grams, _HEAD)
+    return grams, b, t, doc, place[:n], place[n : 2 * n], before
 
 
 def _ranges(grams: np.ndarray, parts: int) -> np.ndarray:
     """Where each range of hashes begins and ends among sorted grams."""
-    edges = (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64)
+    edges = np.array([k * ((1 << 64) // parts) for k in range(1, parts)], np.uint64)
     return np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
 
 
-def _pack40(grams: np.ndarray) -> bytes:
-    """The low 40 bits: within one range, grams with equal low bits are rarer than one in 10^5 and count as one."""
-    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _pack(values: np.ndarray, kind: str = "<u4") -> bytes:
+    """Numbers byte by byte: first every lowest byte, then every next, which the shuffle's compression likes."""
+    wide = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1)
+    return wide.T.tobytes()
 
 
-def _unpack40(blob: bytes) -> np.ndarray:
-    wide = np.zeros((len(blob) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+def _unpack(blob: bytes, n: int) -> np.ndarray:
+    wide = np.frombuffer(blob, np.uint8).reshape(-1, n).T
+    return np.ascontiguousarray(wide).view(f"<u{wide.shape[1]}").ravel().astype(np.int64)
+
+
+def _kind(values: np.ndarray) -> str:
+    return "<u4" if not len(values) or values.max() < 1 << 32 else "<u8"
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    return np.diff(values, prepend=values[:0].dtype.type(0))
+
+
+def _short(grams: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """BITS of each hash, counted from its range's begin. In a range, which holds about as many grams as a chunk, one gram in ten
+    thousand shares them with another; the two count as one."""
+    width = 64 - (parts - 1).bit_length()
+    first = np.uint64(part * ((1 << 64) // parts))
+    return (np.maximum(grams, first) - first) >> np.uint64(max(0, width + 1 - BITS))
 
 
 def _losses(c_bi: np.ndarray, c_context: np.ndarray, c_uni: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -98,47 +122,52 @@ def _own(doc: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
 def chunk_counts(texts: list[str], good: np.ndarray, chunk: int, parts: int) -> pa.Table:
     grams, b, t, *_ = _grams(texts, good)
     cuts = _ranges(grams, parts)
-    rows = [(p, chunk, _pack40(grams[x:y]), b[x:y].astype("<u4").tobytes(), t[x:y].astype("<u4").tobytes()) for p, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-    return pa.table([list(c) for c in zip(*rows)] if rows else [[]] * 5, schema=_COUNTS)
+    rows = []
+    for p, (x, y) in enumerate(zip(cuts, cuts[1:])):
+        if y > x:
+            steps = _steps(_short(grams[x:y], p, parts))
+            rows.append((p, chunk, int(y - x), _pack(steps, _kind(steps)), _pack(b[x:y]), _pack(t[x:y])))
+    return pa.table([list(c) for c in zip(*rows)] if rows else [[]] * 6, schema=_COUNTS)
 
 
-_COUNTS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("grams", pa.binary()), ("b", pa.binary()), ("t", pa.binary())])
-_ANSWERS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("places", pa.binary()), ("b", pa.binary()), ("t", pa.binary())])
+_COUNTS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n", pa.int64()), ("grams", pa.binary()), ("b", pa.binary()), ("t", pa.binary())])
+_ANSWERS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n", pa.int64()), ("places", pa.binary()), ("b", pa.binary()), ("t", pa.binary())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_background", pa.float64()), ("loss_target", pa.float64()), ("score", pa.float64())])
 
 
 def range_totals(table: pa.Table) -> pa.Table:
     """A range's totals over all chunks, to each chunk for those of its grams that another chunk has too."""
-    chunks = table.column("chunk").to_pylist()
-    grams = [_unpack40(x) for x in table.column("grams").to_pylist()]
-    b = [np.frombuffer(x, "<u4") for x in table.column("b").to_pylist()]
-    t = [np.frombuffer(x, "<u4") for x in table.column("t").to_pylist()]
+    chunks, sizes = table.column("chunk").to_pylist(), table.column("n").to_pylist()
+    read = lambda name: [_unpack(x, n) for x, n in zip(table.column(name).to_pylist(), sizes)]
+    grams, b, t = [np.cumsum(x) for x in read("grams")], read("b"), read("t")
     all_grams, place = np.unique(np.concatenate(grams), return_inverse=True)
     total_b = np.bincount(place, weights=np.concatenate(b), minlength=len(all_grams)).astype(np.int64)
     total_t = np.bincount(place, weights=np.concatenate(t), minlength=len(all_grams)).astype(np.int64)
     rows, at, part = [], 0, table.column("part")[0].as_py()
     for k, chunk in enumerate(chunks):
-        own = place[at : at + len(grams[k])]
-        at += len(grams[k])
+        own = place[at : at + sizes[k]]
+        at += sizes[k]
         more = np.flatnonzero(total_b[own] != b[k])
         if len(more):
-            rows.append((part, chunk, more.astype("<u4").tobytes(), total_b[own[more]].astype("<i8").tobytes(), total_t[own[more]].astype("<i8").tobytes()))
-    return pa.table([list(c) for c in zip(*rows)] if rows else [[]] * 5, schema=_ANSWERS)
+            tb, tt = total_b[own[more]], total_t[own[more]]
+            rows.append((part, chunk, len(more), _pack(_steps(more)), _pack(tb, _kind(tb)), _pack(tt, _kind(tt))))
+    return pa.table([list(c) for c in zip(*rows)] if rows else [[]] * 6, schema=_ANSWERS)
 
 
 def chunk_scores(ids: pa.ChunkedArray, texts: list[str], good: np.ndarray, answers: pa.Table, parts: int) -> pa.Table:
     grams, b, t, doc, uni, bi, context = _grams(texts, good)
     cuts = _ranges(grams, parts)
     for row in answers.to_pylist():
-        at = cuts[row["part"]] + np.frombuffer(row["places"], "<u4").astype(np.int64)
-        b[at], t[at] = np.frombuffer(row["b"], "<i8"), np.frombuffer(row["t"], "<i8")
-    total = (int(b[0]), int(t[0])) if len(grams) and grams[0] == _ALL else (0, 0)
+        at = cuts[row["part"]] + np.cumsum(_unpack(row["places"], row["n"]))
+        b[at], t[at] = _unpack(row["b"], row["n"]), _unpack(row["t"], row["n"])
+    total = (int(b[0]), int(t[0])) if len(grams) else (0, 0)
     size = np.bincount(doc, minlength=len(texts))[doc]
-    own = [_own(doc, place, len(grams)) for place in (bi, context, uni)]
-    own[1] = np.where(grams[context] == _HEAD, 1, own[1]) if len(grams) else own[1]
+    own_bi, own_uni = _own(doc, bi, len(grams)), _own(doc, uni, len(grams))
+    own_context = np.concatenate([own_uni[:1], own_uni[:-1]])
+    own_context[grams[context] == _HEAD] = 1
     losses = []
     for c, n, w in ((b, total[0], np.ones(len(doc), np.int64)), (t, total[1], good[doc].astype(np.int64))):
-        losses.append(_losses(c[bi] - w * own[0], c[context] - w * own[1], c[uni] - w * own[2], n - w * size))
+        losses.append(_losses(c[bi] - w * own_bi, c[context] - w * own_context, c[uni] - w * own_uni, n - w * size))
     background, target = losses
     n = np.bincount(doc, minlength=len(texts))
     mean = lambda x: np.bincount(doc, weights=x, minlength=len(texts)) / np.maximum(n, 1)
@@ -172,9 +201,9 @@ def score(docs: DataFrame, good: DataFrame) -> DataFrame:
 
     def name(key: tuple[pa.Scalar, ...], labels: pa.Table) -> pa.Table:
         ids = np.array(labels.column("doc_id").to_pylist(), "<i8").tobytes()
-        return pa.table([[-1], [key[0].as_py()], [ids], [b""], [b""]], schema=_ANSWERS)
+        return pa.table([[-1], [key[0].as_py()], [len(labels)], [ids], [b""], [b""]], schema=_ANSWERS)
 
-    counts = texts.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(count, "part int, chunk int, grams binary, b binary, t binary")
-    answers = counts.groupBy("part").applyInArrow(range_totals, "part int, chunk int, places binary, b binary, t binary")
-    named = marked.groupBy("chunk").applyInArrow(name, "part int, chunk int, places binary, b binary, t binary")
+    counts = texts.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(count, "part int, chunk int, n long, grams binary, b binary, t binary")
+    answers = counts.groupBy("part").applyInArrow(range_totals, "part int, chunk int, n long, places binary, b binary, t binary")
+    named = marked.groupBy("chunk").applyInArrow(name, "part int, chunk int, n long, places binary, b binary, t binary")
     return texts.groupBy("chunk").cogroup(answers.unionByName(named).groupBy("chunk")).applyInArrow(finish, "doc_id long, n_tokens long, loss_background double, loss_target double, score double")
