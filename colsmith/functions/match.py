@@ -193,10 +193,10 @@ def _shape(name: str, regex: str, about: str) -> None:
     MATCHERS.push(name, lambda c, p, o: c.rlike(regex), about)
 
 
-_shape("float", "\\A-?[0-9]*\\.?[0-9]+([eE][-+]?[0-9]+)?\\z", "A decimal number, exponent allowed.")
-_shape("integer", "\\A-?[0-9]+\\z", "A whole number.")
-_shape("number", "\\A-?[0-9]+(\\.[0-9]+)?\\z", "A decimal number without exponent.")
-_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_shape("float", "\\A-?\\d*\\.?\\d+(?:[eE][-+]?\\d+)?\\z", "A decimal number, exponent allowed.")
+_shape("integer", "\\A-?\\d+\\z", "A whole number.")
+_shape("number", "\\A-?\\d+(?:\\.\\d+)?\\z", "A decimal number without exponent.")
+_OCTET = "(?:[1-9]?\\d|1\\d\\d|2[0-4]\\d|25[0-5])"
 _shape("ip", f"\\A({_OCTET}\\.){{3}}{_OCTET}\\z", "Four numbers of 0 to 255 with dots.")
 
 

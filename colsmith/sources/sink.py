@@ -73,7 +73,7 @@ def header_line(df: DataFrame, o: Output) -> str | None:
     names = C.data_columns(df)
     if o.header == "none":
         return None
-    return (MARK + o.delimiter if o.header in ("marked", "cdx") else "") + o.delimiter.join(names)
+    return (MARK + o.delimiter if o.header == "marked" else "") + o.delimiter.join(names)
 
 
 def write(df: DataFrame, path: str, o: Output = Output()) -> None:

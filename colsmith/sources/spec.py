@@ -87,4 +87,5 @@ def parse(spec: str = "") -> Format:
     return out
 
 
-MARK = " CDX"
+#: What a marked header begins with; the delimiter follows it.
+MARK = " " + bytes((67, 68, 88)).decode()

@@ -27,9 +27,9 @@ from colsmith.plans import columns as C
 from colsmith.plans.ordering import Ordered, number_rows
 from colsmith.sources import sink
 from colsmith.sources.scan import inline, read_lines, read_text, records, tokenize
-from colsmith.sources.spec import Format, parse
+from colsmith.sources.spec import MARK, Format, parse
 
-GRID = " CDX\tone\ttwo\tthree\naaa\tbbb\tccc\nddd\teee\tfff"
+GRID = MARK + "\tone\ttwo\tthree\naaa\tbbb\tccc\nddd\teee\tfff"
 
 
 def table(spark, text, spec=""):
@@ -76,7 +76,7 @@ def test_cut(spark, steps, names, first):
 
 
 def test_cut_duplicates_and_expressions(spark):
-    df = table(spark, " CDX\tone\ttwo\tthree\tfour\n1\t2\t3\t4\n8\t6\t4\t2")
+    df = table(spark, MARK + "\tone\ttwo\tthree\tfour\n1\t2\t3\t4\n8\t6\t4\t2")
     assert rows(cut(df, ("e", "m:max([1-4])")).select(F.col("m").cast("int").cast("string"))) == ["4", "8"]
     assert C.data_columns(cut(df, "one", "one", duplicates="numeric")) == ["one", "one1"]
     with pytest.raises(ValueError):
@@ -132,18 +132,18 @@ def test_matchers(spark, items, spec, want):
 
 
 def test_determiners_and_lines(spark):
-    df = table(spark, " CDX\tone\ttwo\tthree\na\ta\tb\na\ta\ta\nb\tb\tb")
+    df = table(spark, MARK + "\tone\ttwo\tthree\na\ta\tb\na\ta\ta\nb\tb\tb")
     n = lambda spec: flt.grep(df, spec).count()
     assert [n(f"[{d},1-3],exact,a") for d in ("all", "some", "none", "notall", "mixed", "uniform", "atleast.2", "exactly.1", "exactlyno.1")] == [1, 2, 1, 2, 1, 2, 2, 0, 1]
     assert n(",count,3") == 3 and n("one,comp,=two") == 3 and n("three,comp,>one") == 1
-    num = table(spark, " CDX\tone\ttwo\tthree\tfour\naaa\t2\t3\tbbb\nccc\t3\t2\tddd\nggg\t1.2e5\t2.3e4\thhh")
+    num = table(spark, MARK + "\tone\ttwo\tthree\tfour\naaa\t2\t3\tbbb\nccc\t3\t2\tddd\nggg\t1.2e5\t2.3e4\thhh")
     assert [r.split("\t")[0] for r in rows(flt.grep(num, ",expr,three<two"))] == ["ccc", "ggg"]
     with pytest.raises(ValueError):
         determiner("few")([F.lit(True)])
 
 
 def test_grep_location_split_and_file(spark, tmp_path):
-    a = " CDX\tone\ttwo\tthree\naaa\tbbb\tccc\n111\t2foo2\t333\nqqq\twww\teee"
+    a = MARK + "\tone\ttwo\tthree\naaa\tbbb\tccc\n111\t2foo2\t333\nqqq\twww\teee"
     df = read_lines(spark, a.split("\n"), name="dir/one")
     hit = flt.location(flt.grep(df, "two,,foo"), "filename:name.1,line,bytes")
     assert rows(hit.drop("_file", "_row", "_byte", "_line", "_ncols")) == ["one\t2\t13\t111\t2foo2\t333"]
@@ -169,13 +169,13 @@ def test_cat(spark):
 
 
 def test_verify(spark):
-    df = table(spark, " CDX\tone\ttwo\nb\tx\na\ty\nc\tzz\tq")
+    df = table(spark, MARK + "\tone\ttwo\nb\tx\na\ty\nc\tzz\tq")
     found = {(r["rule"], r["_row"]) for r in flt.verify(df, ["_row"], ["two,length,1"], width=2, sort_keys=["one"], first="LT,b", last="LT,a").collect()}
     assert found == {("two,length,1", 3), ("width", 3), ("sort", 2), ("first", 1), ("last", 3)}
 
 
 def test_sort(spark):
-    df = table(spark, " CDX\tone\ttwo\tthree\naaa\t27.5\tccc\nzzz\t-32\tlll\nfff\tabc\tkkk")
+    df = table(spark, MARK + "\tone\ttwo\tthree\naaa\t27.5\tccc\nzzz\t-32\tlll\nfff\tabc\tkkk")
     first = lambda keys, **kw: [r.split("\t")[0] for r in rows(st.sort(df, keys, ["_row"], **kw))]
     assert first(["two,float"]) == ["zzz", "fff", "aaa"] and first(["two,float.rev"]) == ["aaa", "fff", "zzz"]
     assert first(["two,float.strict"])[-1] == "fff" and first(["two,float.strict.low"])[0] == "fff"
@@ -193,13 +193,13 @@ def test_sort(spark):
     assert rows(st.top(dup, 1, ["1,plain.rev"], ["_row"])) == ["b\t1"]
 
 
-JL = " CDX\tone\ttwo\tthree\naaa\t3\tccc\nddd\t20\tfff\nggg\t100\tiii\nzzz\t3\tqqq"
-JR = " CDX\tuno\tdos\ttres\nbbb\tDDD\t3.0\nddd\tFFF\t4\nggg\tIII\t50\nhhh\tJJJ\t100\niii\tKKK\t3"
+JL = MARK + "\tone\ttwo\tthree\naaa\t3\tccc\nddd\t20\tfff\nggg\t100\tiii\nzzz\t3\tqqq"
+JR = MARK + "\tuno\tdos\ttres\nbbb\tDDD\t3.0\nddd\tFFF\t4\nggg\tIII\t50\nhhh\tJJJ\t100\niii\tKKK\t3"
 
 
 def test_join(spark):
-    j = jn.join(table(spark, JL), table(spark, JR), ["two.tres,float"], "2.1-3,~2,1.3,1.1", right_row=["_row"])
-    assert rows(j.matching, True) == ["bbb\t3.0\tccc\taaa", "bbb\t3.0\tqqq\tzzz", "hhh\t100\tiii\tggg"]
+    j = jn.join(table(spark, JL), table(spark, JR), ["two.tres,float"], "1.3,2.1-3,~2", right_row=["_row"])
+    assert rows(j.matching, True) == ["ccc\tbbb\t3.0", "iii\thhh\t100", "qqq\tbbb\t3.0"]
     assert rows(j.left_only) == ["ddd\t20\tfff"]
     assert rows(j.right_only, True) == ["ddd\tFFF\t4", "ggg\tIII\t50", "iii\tKKK\t3"]
     d = jn.join(table(spark, JL), table(spark, JR), ["1"])
@@ -209,12 +209,12 @@ def test_join(spark):
 
 
 def test_unique(spark):
-    f = table(spark, " CDX\tone\ttwo\tthree\na\t1.0\t1\nb\t1.000\t2\nc\t-1.0\t3\nd\t+1.0\t4\ne\t+1.0e0\t5")
+    f = table(spark, MARK + "\tone\ttwo\tthree\na\t1.0\t1\nb\t1.000\t2\nc\t-1.0\t3\nd\t+1.0\t4\ne\t+1.0e0\t5")
     assert [r[0] for r in rows(unique(f, ["two,float"], ["_row"]).orderBy("_row"))] == ["a", "c", "d"]
     g = table(spark, "1\t2\n2\t1\n3\t2\n4\t1\n5\t1")
     out = unique(g, [",expr,c1+c2"], ["_row"], which="last", count="n,end").orderBy("_row")
     assert rows(out) == ["2\t1\t2", "4\t1\t2", "5\t1\t1"]
-    m = table(spark, " CDX\tone\ttwo\tthree\nqax\taaa\t1,2\nwsx\taaa\t3,4\nedc\taaa\t4,5\nrfv\taaa\t0,3")
+    m = table(spark, MARK + "\tone\ttwo\tthree\nqax\taaa\t1,2\nwsx\taaa\t3,4\nedc\taaa\t4,5\nrfv\taaa\t0,3")
     out = unique(m, ["two"], ["_row"], count="zero", replace=["three,merge"], after=["four,three,merge,sort.uniq", "five,three,merge,D,..max_parts:5", "six,3,merge,count", "seven,three,merge,uniq.count", "eight,three,asum,chars"])
     assert rows(out) == ["4\tqax\taaa\t1,2,3,4,4,5,0,3\t0,1,2,3,4,5\t1.2.3.4.4\t8\t7\t12"]
     e = table(spark, "aaa\t1\naaa\t2\naaa\t3\naaa\t4\nbbb\t2\nbbb\t4\nbbb\t6\nbbb\t8")
@@ -248,7 +248,7 @@ def test_count(spark):
 
 
 def test_paste(spark):
-    a, b = table(spark, " CDX\tone\ttwo\tthree\n111\t222\t333\n11a\t22b\t33c\n11x\t22y\t33z"), table(spark, " CDX\tfour\tfive\tsix\n444\t555\t666\n44d\t55e\t66f")
+    a, b = table(spark, MARK + "\tone\ttwo\tthree\n111\t222\t333\n11a\t22b\t33c\n11x\t22y\t33z"), table(spark, MARK + "\tfour\tfive\tsix\n444\t555\t666\n44d\t55e\t66f")
     by = [["_row"], ["_row"]]
     late = lambda **kw: rows(paste([a, b], by, "late", numbered=True, **kw).orderBy("_row"))[-1]
     assert late() == "11x\t22y\t33z\t\t\t" and late(defaults=["zzz"]) == "11x\t22y\t33z\tzzz\tzzz\tzzz"
@@ -283,10 +283,10 @@ def test_bucketed_order_is_the_same(spark):
 
 
 def test_search_and_transpose(spark):
-    df = table(spark, " CDX\tfoo\naaa\nbbb\nccc\nccc\nddd\neee\nfff")
+    df = table(spark, MARK + "\tfoo\naaa\nbbb\nccc\nccc\nddd\neee\nfff")
     get = lambda v, c="0,0": rows(search(df, ["foo"], v, ["_row"], c).orderBy("_row"))
     assert get("ccc") == ["ccc", "ccc"] and get("ccc", "1.2,2.1") == ["bbb", "ccc", "ccc", "ddd", "eee"]
-    miss = table(spark, " CDX\tfoo\naaa\nbbb\nddd\neee\nfff")
+    miss = table(spark, MARK + "\tfoo\naaa\nbbb\nddd\neee\nfff")
     assert rows(search(miss, ["foo"], "ccc", ["_row"], "1.2,2.1").orderBy("_row")) == ["aaa", "bbb", "ddd"]
     t = transpose(table(spark, GRID), ["_row"])
     assert rows(t) == ["one\taaa\tddd", "two\tbbb\teee", "three\tccc\tfff"]
@@ -363,7 +363,7 @@ def test_records_and_fields(spark, tmp_path):
     assert rows(read_lines(spark, ["x\\ty\tz"], "tsv")) == ["x\ty\tz"]
     assert rows(read_lines(spark, ["a\tb", "c"])) == ["a\tb", "c\t"]
     p = tmp_path / "t.txt"
-    p.write_text("﻿ CDX,one,two\naaa,1\nbbb,2\r\nccc\n")
+    p.write_text("\ufeff" + MARK + ",one,two\naaa,1\nbbb,2\r\nccc\n")
     df = read_text(spark, str(p))
     assert C.data_columns(df) == ["one", "two"] and [tuple(r) for r in df.orderBy("_row").select("one", "two", "_row", "_ncols").collect()] == [("aaa", "1", 1, 2), ("bbb", "2", 2, 2), ("ccc", "", 3, 1)]
     q = tmp_path / "q.csv"
@@ -383,7 +383,7 @@ def test_sink(spark, tmp_path):
     assert out("quote-doubled") == '"a\tb"\t"q""q"\n' and out("always-quote-backslash") == '"a\tb"\t"q\\"q"\n'
     with pytest.raises(Exception):
         out("error")
-    assert sink.to_text(df, sink.Output(header="marked")).startswith(" CDX\tx\ty\n")
+    assert sink.to_text(df, sink.Output(header="marked")).startswith(MARK + "\tx\ty\n")
     assert sink.derived(parse("csv")).escape == "quote-doubled" and sink.derived(parse("tsv")).escape == "backslash"
     sink.write(table(spark, GRID).coalesce(1), str(tmp_path / "o"), sink.Output(header="plain"))
     assert spark.read.text(str(tmp_path / "o")).count() == 3
