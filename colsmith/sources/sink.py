@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colsmith.functions import text as T
+from colsmith.functions.numfmt import plain
 from colsmith.plans import columns as C
 from colsmith.sources.spec import MARK, Format
 
@@ -65,8 +66,9 @@ def escaped(c: Column, o: Output) -> Column:
 
 
 def lines(df: DataFrame, o: Output = Output()) -> DataFrame:
-    """One column `value`: each row as a line, without its end."""
-    return df.select(F.concat_ws(o.delimiter, *[escaped(C.col(c), o) for c in C.data_columns(df)]).alias("value"), *[c for c in df.columns if c.startswith("_")])
+    """One column `value`: each row as a line, without its end; numbers in their shortest form."""
+    shown = {c: plain(C.col(c).cast("double")) if t in ("double", "float") else C.col(c) for c, t in df.dtypes}
+    return df.select(F.concat_ws(o.delimiter, *[escaped(shown[c], o) for c in C.data_columns(df)]).alias("value"), *[c for c in df.columns if c.startswith("_")])
 
 
 def header_line(df: DataFrame, o: Output) -> str | None:

@@ -123,7 +123,7 @@ NUMBERS = ["1.2", "1.2e3", " 1.2", "a.2", "7", "+1.2", ".2", "-123", "256.2.3.4"
         (["foobar", "FOO", "bar"], "prefix.case,foo", ["foobar", "FOO"]),
         (["foobar", "FOO", "bar"], "not.suffix,bar", ["FOO"]),
         (["  foo ", "foo"], "exact.trim,foo", ["  foo ", "foo"]),
-        (["crane", "caper", "carne", "cared", "scare"], "solve,+crAne", ["carne"]) if False else (["abc", "bca", "cab"], "solve,+aBc", []),
+        (["abc", "bca", "cab"], "solve,+aBc", []),
         (["abd", "adb", "dab", "bad"], "solve,+aBc", ["adb"]),
     ],
 )
@@ -205,7 +205,8 @@ def test_join(spark):
     d = jn.join(table(spark, JL), table(spark, JR), ["1"])
     assert C.data_columns(d.matching) == ["one", "two", "three", "dos", "tres"] and d.matching.count() == 2
     assert jn.join_full(table(spark, JL), table(spark, JR), ["1"], "outer", "-").count() == 7
-    assert jn.join_all([table(spark, "a\t1\nb\t2"), table(spark, "a\t3"), table(spark, "a\t5")][:2], ["1"]).count() == 1 if False else True
+    parts = [spark.createDataFrame([("a", i), ("b", i)][: 3 - i], f"k string, v{i} int") for i in (1, 2)]
+    assert rows(jn.join_all([*parts, spark.createDataFrame([("a", 9)], "k string, w int")], ["k"])) == ["a\t1\t2\t9"]
 
 
 def test_unique(spark):
@@ -306,7 +307,7 @@ def test_generate(spark):
     ranks = {r["word"]: r["score"] for r in gen.rank_words(words, words).collect()}
     assert ranks == {w: _rank([x[0] for x in words.collect()], w) for w in ranks} and len(ranks) == 5
     assert sorted(r[0] for r in gen.sub_anagrams(words, "tac o").collect()) == ["act", "cat", "cot", "tac"]
-    assert {r["anagram"] for r in gen.anagrams(spark.createDataFrame([("no",), ("on",), ("one",), ("t",), ("e",)], "value string"), "one t").collect()} == {"one t", "no e t", "on e t"} or True
+    assert {r["anagram"] for r in gen.anagrams(spark.createDataFrame([("no",), ("on",), ("one",), ("t",), ("e",)], "value string"), "one t").collect()} >= {"one t"}
 
 
 def _rank(cands, word):
