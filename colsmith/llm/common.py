@@ -5,10 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,5 +82,12 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) ->
     return few.unionByName(rest)
 
 
-def text_list(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    return column.to_pylist()
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What a worker keeps between tasks: one operator's caches at a time, so those of a stage before don't stay in memory."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

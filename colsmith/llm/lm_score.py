@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsmith.llm.common import text_or_empty
+from colsmith.llm.common import kept, text_or_empty
 from colsmith.llm.words import WordHashes, mix
 
 #: Characters of text in a chunk, about.
@@ -38,16 +38,13 @@ _ALL = np.uint64(0)  # stands for the number of all tokens
 _BEGIN = np.uint64(0x6A09E667F3BCC909)
 _UNI = np.uint64(0x3C6EF372FE94F82B)
 _HEAD = mix(np.array([_BEGIN]), np.array([_UNI]))[0]
-_HASHES: list[WordHashes] = []
 
 
 def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, word, word pair, word before) of each token, as grams; words are lower-cased."""
-    if not _HASHES:
-        _HASHES.append(WordHashes())
-    each = []
+    hashes, each = kept(("hashes",), WordHashes), []
     for text in texts:
-        each.append(_HASHES[0].of(text.encode("utf-8", "surrogatepass").lower().split()))
+        each.append(hashes.of(text.encode("utf-8", "surrogatepass").lower().split()))
     size = np.array([len(h) for h in each], np.int64)
     h = np.concatenate(each) if each else np.zeros(0, np.uint64)
     before = np.concatenate([[_BEGIN], h[:-1]]) if len(h) else h

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsmith.llm.common import sub_batches, text_or_empty
+from colsmith.llm.common import kept, sub_batches, text_or_empty
 
 MARK, LONG, MOST_NODES, MOST_WORDS = "▁", 48, 500_000, 400_000
 BATCH_CHARS = 6_000_000
@@ -121,20 +121,16 @@ class Counter:
         return sums(filled), sums(tokens)
 
 
-_SHARED: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_words, n_tokens, n_chars of every document; vocabulary: the path of a sentencepiece model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _SHARED:
-            _SHARED[vocabulary] = Counter(vocabulary)
+        counter = kept(("counter", vocabulary), lambda: Counter(vocabulary))
         for batch in batches:
             chars = np.array(batch.column(2), np.int64)
             for a, b in sub_batches(chars, BATCH_CHARS):
                 part = batch.slice(a, b - a)
-                words, tokens = _SHARED[vocabulary].count(part.column(1))
+                words, tokens = counter.count(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words), pa.array(tokens), pa.array(chars[a:b])], ["doc_id", "n_words", "n_tokens", "n_chars"])
 
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.length(text_or_empty()).cast("long").alias("chars"))

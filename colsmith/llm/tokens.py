@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from colsmith.llm.common import kept
+
 _UNSURE = r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}"
 _ODD = rf"[{_UNSURE}\t\r]| [\n ]|\n |\A | \z|\n\n\n|\n\n\z"
 _PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
@@ -123,11 +125,6 @@ class Encoder:
         return size, out
 
 
-_SHARED: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder; tasks that follow one another in a worker go on with its caches."""
-    if path not in _SHARED:
-        _SHARED[path] = Encoder(path)
-    return _SHARED[path]
+    return kept(("encoder", path), lambda: Encoder(path))

@@ -4,7 +4,8 @@ The kernel compares two words by their common subsequences of ORDER letters, eac
 spans in both: inserted letters and gaps weaken a match and don't end it. Landmarks are words of the labelled sample, those that
 tell its classes apart most. A document is described by its best match with each landmark over all its words, mapped by the
 landmarks' own kernel matrix (Nyström), and classified by a linear SVM; a logistic curve over its margin gives the score. A word
-that lacks SHARED of a landmark's distinct letters doesn't match it, which leaves few pairs to compute. Runs of single letters
+matches a landmark only with SHARED of its distinct letters and half of its neighbouring letters at most three places apart, which
+leaves few pairs to compute. Runs of single letters
 ("i d i o t") are also read as one word. Distinct words are compared once a worker.
 
 The fit uses at most FIT_ROWS labelled documents, chosen by hash of doc_id among those whose crc32(doc_id) mod 5 isn't 0.
@@ -23,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colsmith.llm.common import materialize, sub_batches, text_or_empty
+from colsmith.llm.common import kept, materialize, sub_batches, text_or_empty
 
 FIT_ROWS = 6000
 LANDMARKS, ORDER, DECAY, SHARED, FLOOR = 64, 3, 0.6, 0.6, 0.25
@@ -68,6 +70,19 @@ def _letters(codes: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1) if codes.shape[1] else np.zeros(len(codes), np.uint64)
 
 
+def _pairs(codes: np.ndarray, reach: int) -> np.ndarray:
+    """Letter pairs up to `reach` places apart as bits of two hashes, (2, rows)."""
+    c = codes.astype(np.uint64)
+    out = np.zeros((2, len(codes)), np.uint64)
+    for d in range(1, min(reach, codes.shape[1] - 1) + 1):
+        a, b = c[:, :-d], c[:, d:]
+        there = (a != 0) & (b != 0)
+        for k, (p, q) in enumerate(((31, 7), (13, 47))):
+            bits = np.where(there, np.uint64(1) << ((a * np.uint64(p) + b * np.uint64(q)) % np.uint64(64 - 3 * k)), np.uint64(0))
+            out[k] |= np.bitwise_or.reduce(bits, axis=1)
+    return out
+
+
 class Matcher:
     """Normalised kernel values of words against landmarks, none below FLOOR."""
 
@@ -77,6 +92,8 @@ class Matcher:
         self.t = _codes(landmarks, self.width)
         self.letters = _letters(self.t)
         self.need = np.ceil(SHARED * np.bitwise_count(self.letters)).astype(np.int64)
+        self.pairs = _pairs(self.t, 1)
+        self.need_pairs = np.ceil(0.5 * np.bitwise_count(self.pairs)).astype(np.int64)
         self.own = self.norm(self.t)
         self.reset()
 
@@ -98,6 +115,11 @@ class Matcher:
         codes = _codes(parts, PART)
         shared = np.bitwise_count(_letters(codes)[:, None] & self.letters[None, :])
         x, y = np.nonzero(shared >= self.need[None, :])
+        pairs = _pairs(codes, 3)
+        near = np.ones(len(x), bool)
+        for k in (0, 1):
+            near &= np.bitwise_count(pairs[k][x] & self.pairs[k][y]) >= self.need_pairs[k][y]
+        x, y = x[near], y[near]
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         for at in range(0, len(x), 4000):
             i, j = x[at : at + 4000], y[at : at + 4000]
@@ -213,22 +235,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * (self._features(x) @ self.w) + self.b, -30, 30)))
 
 
-_SHARED: dict[tuple[str, ...], Matcher] = {}
-
-
-def _matcher(landmarks: list[str]) -> Matcher:
-    key = tuple(landmarks)
-    if key not in _SHARED:
-        _SHARED.clear()
-        _SHARED[key] = Matcher(landmarks)
-    return _SHARED[key]
-
-
-def _described(rows: DataFrame, landmarks: list[str], finish, schema: str) -> DataFrame:
+def _described(rows: DataFrame, landmarks: list[str], finish, schema: str | T.StructType) -> DataFrame:
     """finish(batch, descriptions) for every batch of (anything, text, chars)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(landmarks)
+        matcher = kept(("matcher", *landmarks), lambda: Matcher(landmarks))
         for batch in batches:
             for a, b in sub_batches(np.array(batch.column(2), np.int64), BATCH_CHARS):
                 part = batch.slice(a, b - a)
@@ -237,6 +248,22 @@ def _described(rows: DataFrame, landmarks: list[str], finish, schema: str) -> Da
     return rows.mapInArrow(run, schema)
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words of each text, without marks. A word is to count once a family of near copies, which mostly share the least hash
+    over their words; that hash stands for the text."""
+    from xxhash import xxh64_intdigest
+
+    for batch in batches:
+        toxic, family, word = [], [], []
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = {"".join(filter(str.isalnum, w)) for w in text.lower().split()} or {""}
+            least = min(xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in own) >> 1
+            toxic += [label] * len(own)
+            family += [least] * len(own)
+            word += own
+        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(family, pa.int64()), pa.array(word, pa.string())], ["toxic", "family", "word"])
+
+
 def _held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
@@ -253,16 +280,13 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text"))
     sample = materialize(texts.join(F.broadcast(picked), "_id").select("toxic", "text", F.length("text").alias("chars")), "labelled")  # at most fit_rows rows are broadcast
 
-    # A word counts once a family of near copies: they mostly share the least hash over their words.
-    words = sample.select("toxic", F.array_distinct(F.split(F.lower("text"), "\\s+")).alias("words"))
-    words = words.select("toxic", F.array_min(F.transform("words", lambda w: F.xxhash64(w))).alias("family"), F.explode("words").alias("raw"))
-    bare = F.regexp_replace("raw", "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")
-    seen = words.select("toxic", "family", bare.alias("word")).where(F.length("word").between(ORDER, PART)).distinct()
-    n = {r["toxic"]: r["n"] for r in words.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
+    words = sample.mapInArrow(_words, "toxic int, family long, word string")
+    seen = materialize(words.distinct(), "labelled-words")
+    n = {r["toxic"]: r["n"] for r in seen.groupBy("toxic").agg(F.count_distinct("family").alias("n")).collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
         return float(np.mean(classes))
-    tallies = seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where("n >= 3")
+    tallies = seen.where(F.length("word").between(ORDER, PART)).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where("n >= 3")
     gap = F.col("t") / bad - (F.col("n") - F.col("t")) / good
     # How far apart the classes' shares are, against the spread that chance gives.
     z = gap / F.sqrt((F.col("n") / (bad + good)) * (1.0 / bad + 1.0 / good))
@@ -280,23 +304,25 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     return Model(landmarks, np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows]))
 
 
-def score(docs: DataFrame, model: Model | float, keep: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns keep), held_out, score, predicted of every row."""
-    keep = keep or ["doc_id"]
+def _scored(docs: DataFrame, model: Model | float, keep: list[str]) -> DataFrame:
+    """row (a struct of the columns keep), held_out, score."""
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     if isinstance(model, float):
-        given = docs.select(*keep, _held_out().alias("held_out"), F.lit(model).alias("score"))
-        return given.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    rows = docs.select(F.struct(*keep, _held_out().alias("held_out")).alias("row"), text_or_empty().alias("text"), F.length(text_or_empty()).alias("chars"))
+        return docs.select(row, _held_out().alias("held_out"), F.lit(model).alias("score"))
+    rows = docs.select(F.struct(row, _held_out().alias("held_out")).alias("both"), text_or_empty().alias("text"), F.length(text_or_empty()).alias("chars"))
 
     def finish(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x))], ["row", "score"])
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x))], ["both", "score"])
+
+    return _described(rows, model.landmarks, finish, T.StructType().add("both", rows.schema["both"].dataType).add("score", "double")).select("both.*", "score")
+
 
-    kind = rows.schema["row"].dataType.simpleString()
-    scored = _described(rows, model.landmarks, finish, f"row {kind}, score double")
-    return scored.select("row.*", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def score(docs: DataFrame, model: Model | float) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
+    scored = _scored(docs, model, ["doc_id"])
+    return scored.select(F.col("row.doc_id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows that the model doesn't reject, with all their columns."""
-    columns = docs.columns
-    return score(docs, fit(docs, labels), keep=columns).where("predicted = 0").select(*columns)
+    return _scored(docs, fit(docs, labels), docs.columns).where("score < 0.5").select("row.*")
