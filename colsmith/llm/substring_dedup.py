@@ -1,9 +1,9 @@
 """Substring deduplication over a compacted de Bruijn graph.
 
 Every window of WINDOW consecutive words is an edge. Windows that follow one another and have the same least gram of MINIMIZER
-words form one path: it crosses the network as one row under that gram, with its source coordinates and a 32-bit hash of each
-window. Equal windows have equal minimizers, so they meet there, and 64 + 32 bits tell them apart (a false match among windows
-of one minimizer has a chance of 2^-32). Paths meet in order of their coordinates, and each window that another started earlier
+words form one path: it crosses the network as one row under that gram, with its source coordinates and a 48-bit hash of each
+window. Equal windows have equal minimizers, so they meet there, and 64 + 48 bits tell them apart (a false match among windows
+of one minimizer has a chance of 2^-48). Paths meet in order of their coordinates, and each window that another started earlier
 becomes part of a repeated path, cut where first-seen windows branch off. Before the shuffle each worker does the same within
 blocks of its own text, so a passage that many documents share sends at most one path a block.
 
@@ -28,6 +28,8 @@ from colsmith.llm.words import WordHashes, longer
 WINDOW, MINIMIZER = 20, 8
 #: Characters of text in which a worker looks for repeats before anything is sent.
 BLOCK_CHARS = 8_000_000
+#: Bytes of a window's hash that travel with its path, and paths that are compared at once.
+HASH_BYTES, ROWS = 6, 50_000
 _ROW = ["at", "doc", "start", "n", "hashes"]
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
@@ -85,8 +87,8 @@ def block_paths(docs: list[int], texts: list[str], hashes: WordHashes) -> pa.Rec
     known = later[begin]
     at = np.where(known, doc[begin] * 1_000_003 + start[begin], m[begin].view(np.int64))  # any place will do for known rows
     size = np.where(known, 0, n)
-    ends = np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)
-    tail = (g[np.repeat(~known, n)] & np.uint64(0xFFFFFFFF)).astype("<u4")
+    ends = np.concatenate([[0], np.cumsum(size * HASH_BYTES)]).astype(np.int32)
+    tail = g[np.repeat(~known, n)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
     blob = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(tail)])
     return pa.RecordBatch.from_arrays([pa.array(at), pa.array(doc[begin]), pa.array(start[begin]), pa.array(n.astype(np.int32)), blob], _ROW)
 
@@ -99,10 +101,10 @@ def _merge(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (at, doc, start): the repeated paths. Of the last key only the windows seen stay in memory."""
-    last, seen = None, np.zeros(0, np.uint32)
+    last, seen = None, np.zeros(0, np.uint64)
     for batch in batches:
-        for row in range(0, batch.num_rows, 50_000):
-            part = batch.slice(row, 50_000)
+        for row in range(0, batch.num_rows, ROWS):
+            part = batch.slice(row, ROWS)
             at, doc, start, n = (np.array(part.column(k)) for k in range(4))
             raw = part.column(4)
             ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
@@ -113,19 +115,22 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(at):
                 continue
             data = raw.buffers()[2]
-            h = np.frombuffer(data, "<u4", (int(ends[-1]) - int(ends[0])) // 4, int(ends[0]))
+            raw_hashes = np.frombuffer(data, np.uint8, int(ends[-1]) - int(ends[0]), int(ends[0])).reshape(-1, HASH_BYTES)
+            h = np.zeros((len(raw_hashes), 8), np.uint8)
+            h[:, :HASH_BYTES] = raw_hashes
+            h = h.view("<u8").ravel()
             key = np.cumsum(np.concatenate([[at[0] != last if last is not None else True], at[1:] != at[:-1]])).astype(np.uint64)
             d, k = np.repeat(doc, n), np.repeat(key, n)
             s = np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             # Windows of the key that went on from before stand first, under no document.
-            carried = seen if len(seen) and at[0] == last else np.zeros(0, np.uint32)
+            carried = seen if len(seen) and at[0] == last else np.zeros(0, np.uint64)
             if len(carried):
                 key0 = int(key[0])
                 d = np.concatenate([np.full(len(carried), np.iinfo(np.int64).min), d])
                 s = np.concatenate([np.full(len(carried), -1), s])
                 k = np.concatenate([np.full(len(carried), key0, np.uint64), k])
                 h = np.concatenate([carried, h])
-            later = _later(d, s, (k << np.uint64(32)) | h)
+            later = _later(d, s, (k << np.uint64(48)) | h)  # at most ROWS + 1 keys: 16 bits
             own = h[k == k[-1]]
             last, seen = at[-1], np.unique(own)
             later[: len(carried)] = False
