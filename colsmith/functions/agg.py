@@ -121,6 +121,14 @@ class Agg:
     group: Callable[[Column, Column], Column]
     across: Callable[[Sequence[Column]], Column]
     numeric: bool = True
+    #: For columns of number types: the same aggregate with a buffer of fixed size, which a hash aggregate takes.
+    typed: Callable[[Column], Column] | None = None
+
+    def of(self, value: Column, row: Column, kind: str = "string") -> Column:
+        return self.typed(value) if self.typed and kind in NUMBERS else self.group(value, row)
+
+
+NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def _in_order(value: Column, row: Column) -> Column:
@@ -173,7 +181,9 @@ def _extreme(arg: str, least: bool) -> Agg:
         packed = [F.struct(comp.key(v).alias("k"), F.lit(i if down else -i).alias("i"), v.alias("v")) for i, v in enumerate(vs)]
         return (F.array_min if down else F.array_max)(F.array(*packed))["v"]
 
-    return Agg(group, across, numeric=False)
+    # Equal numbers of one type are equal texts, so there are no ties to break.
+    typed = (lambda v: (F.min if down else F.max)(v).cast("string")) if comp.method == "float" and comp.mods <= {"rev"} else None
+    return Agg(group, across, numeric=False, typed=typed)
 
 
 @AGGREGATORS.push("min", aliases=("minimum",))

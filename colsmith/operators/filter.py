@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsmith.functions.match import determiner, in_range, matcher
+from colsmith.functions.match import bounds, determiner, in_range, matcher
 from colsmith.operators.sort import Keys
 from colsmith.plans import columns as C
 from colsmith.plans.ordering import Ordered
@@ -92,8 +92,46 @@ def condition(df: DataFrame, patterns: Sequence[str], any_of: bool = False, inve
     return ~found if invert else found
 
 
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def implied(df: DataFrame, spec: str) -> Column | None:
+    """A condition on the bare column that every matching row meets, which a Parquet or ORC scan can take; None if there is none.
+
+    Matchers take null for empty text, so they work on coalesced columns, which scans don't take. Where an empty value can't match,
+    the bare comparison says the same.
+    """
+    target, method = _parse(spec)
+    head, _, pattern = method.partition(",")
+    if not pattern or target[:1] in ("[", "(", "") or head not in ("exact", "prefix", "suffix", "infix", "substr", "substring", "range"):
+        return None
+    try:
+        picked = C.resolve(target, C.data_columns(df))
+    except ValueError:
+        return None
+    if len(picked) != 1:
+        return None
+    c, kind = C.col(picked[0][1]), dict(df.dtypes)[picked[0][1]]
+    if head != "range":
+        if kind != "string":
+            return None
+        return c == F.lit(pattern) if head == "exact" else c.startswith(pattern) if head == "prefix" else c.endswith(pattern) if head == "suffix" else c.contains(pattern)
+    comparator, tests = bounds(pattern)
+    if comparator.mods or (kind == "string") != (comparator.method in ("", "plain")) or (kind != "string" and (comparator.method != "float" or kind not in _NUMBERS)):
+        return None
+    found = []
+    for op, text in tests:
+        value = text if kind == "string" else float(text)
+        if not op("" if kind == "string" else 0.0, value):  # an empty value fails this test
+            found.append(op(c, F.lit(value)))
+    return functools.reduce(operator.and_, found) if found else None
+
+
 def grep(df: DataFrame, *patterns: str, any_of: bool = False, invert: bool = False) -> DataFrame:
     """Rows that match all patterns (any_of: one), or with invert those that don't."""
+    pushed = [p for p in (implied(df, x) for x in patterns) if p is not None] if not (any_of or invert) else []
+    for p in pushed:
+        df = df.where(p)
     return df.where(condition(df, patterns, any_of, invert))
 
 

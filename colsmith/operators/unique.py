@@ -103,7 +103,8 @@ def unique(
             aggs.append((as_text_number(value) if as_string else value).alias(name))
         else:
             a = aggregator(spec)
-            value = a.group(C.col(C.resolve(source, C.data_columns(df))[0][1]), order if len(row) > 1 else F.col(row[0]))
+            column = C.resolve(source, C.data_columns(df))[0][1]
+            value = a.of(C.col(column), order if len(row) > 1 else F.col(row[0]), dict(df.dtypes)[column])
             aggs.append((as_text(a, value) if as_string else value).alias(name))
         return name
 
@@ -140,6 +141,8 @@ def distinct_lines(df: DataFrame, row: Sequence[str] = ()) -> DataFrame:
     columns = [c for c in C.data_columns(df) if c not in row]
     if not row:
         return df.dropDuplicates(columns)
+    if len(row) == 1:  # a number: the hash aggregate's kind of buffer
+        return df.groupBy(*[C.col(c) for c in columns]).agg(F.min(row[0]).alias(row[0]))
     return df.groupBy(*[C.col(c) for c in columns]).agg(F.min(F.struct(*row)).alias("_at")).select(*[C.col(c) for c in columns], "_at.*")
 
 
@@ -150,6 +153,7 @@ def group_aggregate(df: DataFrame, keys: Sequence[str], aggs: Sequence[str], row
     for spec in aggs:
         new, source, agg = spec.split(",", 2)
         a = aggregator(agg)
-        value = a.group(C.col(C.resolve(source, C.data_columns(df))[0][1]), order)
+        column = C.resolve(source, C.data_columns(df))[0][1]
+        value = a.of(C.col(column), order, dict(df.dtypes)[column])
         out.append((as_text(a, value) if as_string else value).alias(new))
     return df.groupBy(*[C.col(c) for c in keys]).agg(*out)

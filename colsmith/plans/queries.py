@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,12 @@ from colsmith.operators.search import search
 from colsmith.operators.transpose import transpose
 from colsmith.operators.unique import distinct_lines, group_aggregate, unique
 from colsmith.operators.zip import paste
+from colsmith.operators.terminal import calc
 from colsmith.plans.ordering import number_rows
+from colsmith.sources import sink
+from colsmith.sources.scan import read_lines
+from colsmith.sources.spec import MARK
+from colsmith.streaming import rows as stream_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -537,8 +543,56 @@ def anagram_phrase(spark, sf):
     return gen.anagrams(words, "blue cold rod ring", frequency="n")
 
 
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(28,8))) AS DOUBLE) AS qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(28,8))) AS DOUBLE) / count(*) AS mean_price, CAST(min(l_discount) AS VARCHAR) AS low, CAST(max(l_tax) AS VARCHAR) AS high, 'x' AS prefix FROM lineitem GROUP BY 1, 2")
+# ---- text in and out, calculator, streams ----
+
+
+@query("SELECT * FROM (VALUES ('a,1', 'x\"y', CAST(1 AS BIGINT)), ('b', '', 2), ('c d', 'z', 3)) v(one, two, line)")
+def scan_quotes_ragged(spark, sf):
+    df = read_lines(spark, [MARK + ',one,two', '"a,1","x""y"', "b", 'c" d",z'], "csv")
+    return df.select("one", "two", F.col("_row").alias("line"))
+
+
+@query("SELECT * FROM (VALUES ('a\tb', 'c'), ('d', 'e\\f')) v(c1, c2)".replace("a\tb", "a' || chr(9) || 'b").replace("\\\\", "\\"))
+def scan_backslash(spark, sf):
+    return read_lines(spark, ["a\\tb\tc", "d\te\\\\f"], "tsv").select("c1", "c2")
+
+
+@query("SELECT * FROM (VALUES ('10.0.0.1', '-', '10/Oct:1', 'GET /x')) v(c1, c2, c3, c4)")
+def scan_log(spark, sf):
+    return read_lines(spark, ['10.0.0.1 - [10/Oct:1] "GET /x"'], "clf").select("c1", "c2", "c3", "c4")
+
+
+@query("SELECT n_nationkey, n_nationkey || ',\"' || n_name || ',\"\"' || n_regionkey || '\"' AS value FROM nation")
+def sink_quoted_lines(spark, sf):
+    df = t(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit(',"'), F.col("n_regionkey").cast("string")).alias("v"), F.col("n_nationkey").alias("_id"))
+    return sink.lines(df, sink.Output(",", "quote-doubled")).select(F.col("_id").alias("n_nationkey"), "value")
+
+
+@query("SELECT * FROM (VALUES ('3'), ('1.1K'), ('IX'), ('120'), ('inf'), ('5/2')) v(value)")
+def calc_values(spark, sf):
+    return spark.createDataFrame([(v,) for v in calc(spark, ["1+2", "power2,1025", "roman,9", "5!", "1/0", "rational,2.5"])], "value string")
+
+
+@query("SELECT event_type, count(*) AS n, sum(strlen(event_type))::BIGINT AS letters FROM events WHERE starts_with(event_type, 'c') OR event_type = 'view' GROUP BY event_type")
+def stream_counts(spark, sf):
+    """A stream of event files, filtered row by row and grouped, run until what is there has been read."""
+    source = f"{sf}/event[s].parquet"
+    stream = spark.readStream.schema(t(spark, sf, "events").schema).parquet(source)
+    kept = stream_rows.pipeline(stream, ["event_type,prefix,c", "event_type,exact,view"], any_of=True)
+    out = group_aggregate(kept, ["event_type"], ["n,event_id,count", "letters,event_type,asum,chars"])
+    name = f"counts_{uuid.uuid4().hex}"
+    run = out.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query()
+def gen_random(spark, sf):
+    return gen.generate(spark, ["decimal,-NNN.NN", "normal,10,2,plain.3", "expr,3d6"], 1000, seed=5)
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(28,8))) AS DOUBLE) AS qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(28,8))) AS DOUBLE) / count(*) AS mean_price, CAST(min(l_discount) AS VARCHAR) AS low, CAST(max(l_tax) AS VARCHAR) AS high FROM lineitem GROUP BY 1, 2")
 def flagship(spark, sf):
-    df = t(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax").withColumn("x", F.lit("x"))
-    return group_aggregate(df, ["l_returnflag", "l_linestatus"], ["n,l_quantity,count", "qty,l_quantity,sum,exact", "mean_price,l_extendedprice,mean,exact", "low,l_discount,min,float", "high,l_tax,max,float", "prefix,x,prefix"], [])
+    df = t(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return group_aggregate(df, ["l_returnflag", "l_linestatus"], ["n,l_quantity,count", "qty,l_quantity,sum,exact", "mean_price,l_extendedprice,mean,exact", "low,l_discount,min,float", "high,l_tax,max,float"])
 

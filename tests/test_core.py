@@ -156,6 +156,19 @@ def test_grep_location_split_and_file(spark, tmp_path):
     assert in_file(df, "one", spark.read.text(str(p)), negate=True).count() == 1
 
 
+def test_filters_reach_the_scan(spark, sf):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    events, orders = spark.read.parquet(f"{sf}/events.parquet"), spark.read.parquet(f"{sf}/orders.parquet")
+    p = plan(flt.grep(events, "event_type,exact,click").select("event_id"))
+    assert "EqualTo(event_type,click)" in p and "ReadSchema: struct<event_id:bigint,event_type:string>" in p
+    assert "GreaterThanOrEqual(o_totalprice,1000.0)" in plan(flt.grep(orders, "o_totalprice,range,float,>=1000<50000"))
+    assert "StringStartsWith(event_type,c)" in plan(flt.grep(events, "event_type,prefix,c"))
+    assert flt.implied(orders, "o_totalprice,range,float,<50000") is None and flt.implied(events, "event_type,exact.not,click") is None
+    nulls = spark.createDataFrame([(1, None), (2, "a"), (3, "")], "k int, v string")
+    keys = lambda *p, **kw: [r["k"] for r in flt.grep(nulls, *p, **kw).orderBy("k").collect()]
+    assert keys("v,exact,") == [1, 3] and keys("v,range,<b") == [1, 2, 3] and keys("v,exact,a", invert=True) == [1, 3] and keys("v,exact.not,a") == [1, 3] and keys("v,range,>=a") == [2]
+
+
 def test_cat(spark):
     lines = ["aaa", "", "   \t", "   \t//", "\t#", "    ", "", "bbb"]
     df = read_lines(spark, lines, "whole")
