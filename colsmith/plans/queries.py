@@ -469,7 +469,7 @@ def gen_grid(spark, sf):
 
 @query("SELECT a.r_name AS v1, b.r_name AS v2 FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
 def gen_combine(spark, sf):
-    names = [r["r_name"] for r in t(spark, sf, "region").orderBy("r_regionkey").limit(100).collect()]
+    names = [r["r_name"] for r in t(spark, sf, "region").orderBy("r_regionkey").collect()]
     return gen.tuples_table(spark, "combine", 2, names)
 
 

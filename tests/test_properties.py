@@ -14,7 +14,7 @@ from colsmith.functions import text as T
 from colsmith.functions.keys import Comparator
 from colsmith.functions.match import matcher
 
-FEW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+FEW = settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
 WORDS = s.lists(s.text(alphabet="ab1.-+eEkK 9ñ,", max_size=8), min_size=1, max_size=60)
 
 
