@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from colsmith.llm.common import materialize, text_or_empty
 
 WINDOW, K = 10, 5
-#: Bytes of the map of fingerprints at most; beyond, it lets more through, which the join then rejects.
-MAP_BYTES = 1 << 24
+#: Bytes of the map of fingerprints at most, as it is part of the plan; beyond, it lets more through, which the join then rejects.
+MAP_BYTES = 1 << 21
 #: Windows of the benchmark up to which they are broadcast; beyond, they are joined by shuffle.
 BROADCAST_WINDOWS = 100_000
 #: A gram of so many words is hashed from two of these numbers, on both sides alike.
@@ -126,11 +126,12 @@ def candidates(docs: DataFrame, maps: dict[int, tuple[bytes, int]], keep: list[s
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the items' ids, of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, the items' ids and a hash of the text, of every document."""
     windows = materialize(benchmark_windows(benchmark), "windows")
     texts = windows.select("len", "fp", "window").distinct()
     small = windows.count() <= BROADCAST_WINDOWS
-    table = materialize(candidates(docs.select(F.col("doc_id").cast("long"), "text").withColumn("_row", F.monotonically_increasing_id()), _maps(windows), ["_row", "doc_id"]), "candidates")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(text_or_empty()).alias("text_hash")).withColumn("_row", F.monotonically_increasing_id())
+    table = materialize(candidates(rows, _maps(windows), ["_row", "doc_id", "text_hash"]), "candidates")
     at = table.where(F.size("cands") > 0).select("_row", F.inline("cands"))
     sure = at.join(F.broadcast(texts) if small else texts, ["len", "fp", "window"])
     spots = sure.groupBy("_row").agg(F.collect_set(F.struct("start", "len")).alias("spots"))
@@ -141,15 +142,17 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     facts = spots.select("_row", covered.cast("long").alias("n_hit")).join(items, "_row")
     names = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0).cast("long"))
-    return table.select("_row", "doc_id", F.col("n_words").cast("long")).join(facts, "_row", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), names.alias("items")
+    return table.select("_row", "doc_id", "text_hash", F.col("n_words").cast("long")).join(facts, "_row", "left").select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), names.alias("items"), "text_hash"
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.0) -> DataFrame:
     """Documents without a shared window (or of which at most least_share of the words are hit), with all their columns."""
-    bad = hits(docs, benchmark).where("contaminated").where(F.col("n_hit") > F.col("n_words") * least_share).select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    bad = hits(docs, benchmark).where("contaminated").where(F.col("n_hit") > F.col("n_words") * least_share).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_text"))
+    # With the text's hash, documents that lack an id aren't taken for one another.
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == bad["_text"])
+    return docs.join(bad, same, "left_anti")
 
 
 SQL = r"""

@@ -102,6 +102,8 @@ def test_decontamination(spark, short):
     assert decontaminate.hits(docs(spark, []), bench).count() == 0
     left = decontaminate.drop_contaminated(docs(spark, ROWS), bench)
     assert left.columns == docs(spark, []).columns
+    two = docs(spark, [(None, items[0][1] + " and more words"), (None, "clean words only"), (5, "clean")])
+    assert {r["text"] for r in decontaminate.drop_contaminated(two, bench.where("item_id < 200")).collect()} == {"clean words only", "clean"}
 
 
 def test_decontamination_maps_may_be_full(spark, monkeypatch):
