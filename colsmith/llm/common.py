@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,10 +69,9 @@ def sub_batches(lengths: np.ndarray, limit: int = SUB_BATCH_CHARS) -> Iterator[t
         yield first, len(lengths)
 
 
-def hot_keys(groups: DataFrame, key: str, count: str = "n") -> DataFrame:
+def hot_keys(groups: DataFrame, key: str, rows: int, count: str = "n") -> DataFrame:
     """Keys holding at least HOT_SHARE of all rows: at most 1/HOT_SHARE of them, however large the input is."""
-    total = groups.agg(F.sum(count).alias("total"))
-    return groups.join(total, F.col(count) >= F.greatest(F.col("total") * HOT_SHARE, F.lit(2)), "inner").select(key)
+    return groups.where(F.col(count) >= max(2, rows * HOT_SHARE)).select(key)
 
 
 def join_by_key(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) -> DataFrame:
@@ -82,12 +84,24 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) ->
     return few.unionByName(rest)
 
 
+def _give_back() -> None:
+    """Memory of what was dropped, to the operating system: workers live on into the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 _KEPT: dict = {}
 
 
 def kept(key: tuple, make: Callable):
     """What a worker keeps between tasks: one operator's caches at a time, so those of a stage before don't stay in memory."""
     if key not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            _give_back()
         _KEPT[key] = make()
     return _KEPT[key]

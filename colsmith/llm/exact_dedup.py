@@ -36,7 +36,7 @@ def groups(docs: DataFrame) -> DataFrame:
     keyed = materialize(texts.select("doc_id", "digest"), "digests")
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
     sizes = keyed.groupBy("digest", salt.alias("salt")).agg(F.count("*").alias("n")).groupBy("digest").agg(F.sum("n").alias("n"))
-    hot = materialize(hot_keys(sizes, "digest"), "hot-digests")
+    hot = materialize(hot_keys(sizes, "digest", keyed.count()), "hot-digests")
 
     marked = texts.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "digest", "left")
     local = marked.withColumn("salt", F.when(F.col("_hot"), salt + 1).otherwise(F.lit(0)))

@@ -28,7 +28,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Rows of the index compared at once in a worker.
 INDEX_ROWS = 400_000
 #: Fingerprints under one key from which it is cut by blocks of the other bits.
-LARGE_KEY = 3000
+LARGE_KEY = 512
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links(distinct)).withColumnRenamed("a", "fp")
     nodes = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = nodes.join(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    found = join_by_key(prints, materialize(named, "named"), "fp", materialize(hot_keys(distinct, "fp"), "hot-prints"))
+    found = join_by_key(prints, materialize(named, "named"), "fp", materialize(hot_keys(distinct, "fp", prints.count()), "hot-prints"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -23,7 +23,7 @@ _ODD = rf"[{_UNSURE}\t\r]| [\n ]|\n |\A | \z|\n\n\n|\n\n\z"
 _PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 #: Characters of text that are cut and encoded at once.
-BATCH_CHARS = 6_000_000
+BATCH_CHARS = 4_000_000
 
 
 def _byte_letters() -> dict[int, int]:

@@ -17,7 +17,7 @@ any length count. Rows are scored one by one, repeated ones alike; labels, lang,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ POWER = 3
 #: Values (before the power) that an insult keeps with a letter put in at its end or amid it: toxic rows are repeated in the fit with these.
 GAPPED = (0.83, 0.6)
 PART = 20
-BATCH_CHARS = 6_000_000
-MOST_WORDS = 400_000
+#: Characters of text described at once, words that a worker keeps, words compared at once.
+BATCH_CHARS, MOST_WORDS, MATCHED = 3_000_000, 300_000, 15_000
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -107,6 +107,8 @@ class Matcher:
 
     def match(self, words: list[str]) -> np.ndarray:
         """(words, landmarks) of kernel values."""
+        if len(words) > MATCHED:
+            return np.concatenate([self.match(words[k : k + MATCHED]) for k in range(0, len(words), MATCHED)])
         parts, owner = [], []
         for k, w in enumerate(words):
             for at in range(0, max(1, len(w) - PART + PART // 2), PART // 2):
@@ -235,7 +237,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * (self._features(x) @ self.w) + self.b, -30, 30)))
 
 
-def _described(rows: DataFrame, landmarks: list[str], finish, schema: str | T.StructType) -> DataFrame:
+def _described(rows: DataFrame, landmarks: list[str], finish: Callable, schema: str | T.StructType, texts: Callable = lambda part: part.column(1)) -> DataFrame:
     """finish(batch, descriptions) for every batch of (anything, text, chars)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +245,7 @@ def _described(rows: DataFrame, landmarks: list[str], finish, schema: str | T.St
         for batch in batches:
             for a, b in sub_batches(np.array(batch.column(2), np.int64), BATCH_CHARS):
                 part = batch.slice(a, b - a)
-                yield finish(part, matcher.describe(part.column(1)))
+                yield finish(part, matcher.describe(texts(part)))
 
     return rows.mapInArrow(run, schema)
 
@@ -309,12 +311,19 @@ def _scored(docs: DataFrame, model: Model | float, keep: list[str]) -> DataFrame
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     if isinstance(model, float):
         return docs.select(row, _held_out().alias("held_out"), F.lit(model).alias("score"))
-    rows = docs.select(F.struct(row, _held_out().alias("held_out")).alias("both"), text_or_empty().alias("text"), F.length(text_or_empty()).alias("chars"))
+    # The text goes to the workers once: as a part of the row where that holds it.
+    inside = "text" in keep and dict(docs.dtypes)["text"] == "string"
+    text = F.lit(None).cast("string") if inside else F.col("text").cast("string")
+    rows = docs.select(F.struct(row, _held_out().alias("held_out")).alias("both"), text.alias("text"), F.length(text_or_empty()).alias("chars"))
 
     def finish(part: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x))], ["both", "score"])
 
-    return _described(rows, model.landmarks, finish, T.StructType().add("both", rows.schema["both"].dataType).add("score", "double")).select("both.*", "score")
+    def texts(part: pa.RecordBatch) -> pa.Array:
+        found = pc.struct_field(part.column(0), ["row", "text"]) if inside else part.column(1)
+        return pc.fill_null(found, "")
+
+    return _described(rows, model.landmarks, finish, T.StructType().add("both", rows.schema["both"].dataType).add("score", "double"), texts).select("both.*", "score")
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
