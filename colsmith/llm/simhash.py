@@ -7,7 +7,9 @@ fingerprints is cut again by five blocks of the other bits, one of which two lin
 rounds of joins. Exact copies share one fingerprint, so the search runs over distinct fingerprints.
 
 Null, empty and blank texts have fingerprint zero and are linked like any other. Fewer words than a shingle: the whole sequence is
-the one shingle. Nulls in doc_id are never a component's name unless it has no other. An empty table gives an empty table.
+the one shingle. Nulls in doc_id are never a component's name unless it has no other. Where one row of a component is kept, rows are
+told apart by doc_id and a digest of the text, so none is lost to another one's missing or repeated id. An empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colsmith.llm.common import hot_keys, join_by_key, materialize, sub_batches, text_or_empty
@@ -72,16 +74,23 @@ def fingerprints_of(texts: list[str], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+def _key() -> Column:
+    """128-bit digest of the text."""
+    return F.unhex(F.md5(text_or_empty().cast("binary")))
+
+
+def fingerprints(docs: DataFrame, with_key: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) and, with_key, the digest of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in sub_batches(np.array(batch.column(2), np.int64)):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(part.column(1).to_pylist()).view(np.int64))], ["doc_id", "fp"])
+                found = [part.column(0), pa.array(fingerprints_of(part.column(1).to_pylist()).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(found + part.columns[3:], ["doc_id", "fp"] + ["key"] * with_key)
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.length(text_or_empty()).alias("chars")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.length(text_or_empty()).alias("chars"), *[_key().alias("key")] * with_key)
+    return rows.mapInArrow(run, "doc_id long, fp long" + ", key binary" * with_key)
 
 
 def _close(fps: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -193,20 +202,31 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """fp, first, root (the least fingerprint of its component) of each distinct fingerprint."""
+    roots = components(links(distinct)).withColumnRenamed("a", "fp")
+    return distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document."""
     prints = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
-    roots = components(links(distinct)).withColumnRenamed("a", "fp")
-    nodes = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    nodes = _rooted(distinct)
     named = nodes.join(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     found = join_by_key(prints, materialize(named, "named"), "fp", materialize(hot_keys(distinct, "fp", prints.count()), "hot-prints"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns; rows that repeat its doc_id leave one."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = materialize(kept, "kept")
-    left = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]), "left_semi")
-    return left if kept.where("_n > 1").isEmpty() else left.dropDuplicates(["doc_id"])
+    """One document of each component, with all its columns: that of the least doc_id (nulls last), then of the least digest. Of rows
+    equal in both, which are copies of one text, one is left."""
+    prints = materialize(fingerprints(docs, with_key=True), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    distinct = materialize(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    best = _rooted(distinct).groupBy("root").agg(F.min("first").alias("first"))
+    kept = materialize(best.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key")), "kept")
+    left = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (_key() == kept["_key"]), "left_semi")
+    if prints.join(kept, prints["doc_id"].eqNullSafe(kept["_id"]) & (prints["key"] == kept["_key"]), "left_semi").count() == kept.count():
+        return left
+    return left.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", _key()).dropDuplicates(["_id", "_key"]).drop("_id", "_key")

@@ -155,6 +155,15 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_keep_one_loses_no_row_without_its_own_id(spark):
+    different = [" ".join(random.Random(k).choices([f"v{k}x{i}" for i in range(50)], k=30)) for k in range(5)]
+    rows = [(None, different[0]), (None, different[0]), (None, different[1]), (None, different[2]), (7, different[3]), (7, different[4]), (8, different[4])]
+    assert len({brute_print(t) for t in different}) == 5 and all((brute_print(a) ^ brute_print(b)).bit_count() > 4 for a in different for b in different if a != b)
+    left = simhash.keep_one(docs(spark, rows))
+    assert left.columns == docs(spark, []).columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter({(None, different[0]), (None, different[1]), (None, different[2]), (7, different[3]), (7, different[4])})
+
+
 @pytest.mark.parametrize("large", [3000, 5])
 def test_links_lose_nothing(spark, monkeypatch, large):
     monkeypatch.setattr(simhash, "LARGE_KEY", large)
