@@ -7,9 +7,10 @@ of one minimizer has a chance of 2^-48). Paths meet in order of their coordinate
 becomes part of a repeated path, cut where first-seen windows branch off. Before the shuffle each worker does the same within
 blocks of its own text, so a passage that many documents share sends at most one path a block.
 
-Null, empty and short texts have no window: nothing is removed. A null doc_id sorts before all others. Rows that repeat a doc_id
-count as one document: a window at the same start is never earlier than itself, and what is removed is removed in each such row.
-An empty table gives an empty table.
+Null, empty and short texts have no window: nothing is removed. A null doc_id sorts before all others, and each row without an id is
+a document of its own, numbered in a stored table. Rows that repeat a doc_id are told apart by a hash of their texts; only those
+that repeat the text too count as one document: a window is never earlier than itself, and what is removed is removed in each such
+row. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsmith.llm.common import sub_batches, text_or_empty
+from colsmith.llm.common import materialize, sub_batches, text_or_empty
 from colsmith.llm.words import WordHashes, longer
 
 WINDOW, MINIMIZER = 20, 8
@@ -30,8 +31,11 @@ WINDOW, MINIMIZER = 20, 8
 BLOCK_CHARS = 8_000_000
 #: Bytes of a window's hash that travel with its path, and paths that are compared at once.
 HASH_BYTES, ROWS = 6, 50_000
-_ROW = ["at", "doc", "start", "n", "hashes"]
-_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_ROW = ["at", "doc", "row", "start", "n", "hashes"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_PATH = ["doc", "row", "start", "n"]
+#: Stands for a null doc_id.
+_NONE = -(1 << 63)
 
 
 def window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +58,16 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(breaks)))
 
 
+def _ranks(doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank of each document among all, doc and row of each rank): documents are in order of (doc, row)."""
+    order = np.lexsort((row, doc))
+    d, r = doc[order], row[order]
+    new = np.concatenate([[True], (d[1:] != d[:-1]) | (r[1:] != r[:-1])])
+    rank = np.empty(len(doc), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, d[new], r[new]
+
+
 def _later(doc: np.ndarray, start: np.ndarray, groups: np.ndarray) -> np.ndarray:
     """Whether a window with the same group started earlier in (doc, start)."""
     order = np.lexsort((start, doc, groups))
@@ -65,10 +79,11 @@ def _later(doc: np.ndarray, start: np.ndarray, groups: np.ndarray) -> np.ndarray
     return later
 
 
-def block_paths(docs: list[int], texts: list[str], hashes: WordHashes) -> pa.RecordBatch:
+def block_paths(docs: list[int], rows: list[int], texts: list[str], hashes: WordHashes) -> pa.RecordBatch:
     """Paths of a block of documents: rows to compare under their minimizer, and rows without hashes, already known as repeated."""
     doc_of, start_of, window, least = [], [], [], []
-    for doc, text in zip(docs, texts):
+    rank, doc_at, row_at = _ranks(np.array(docs, np.int64), np.array(rows, np.int64))
+    for doc, text in zip(rank.tolist(), texts):
         words = text.encode("utf-8", "surrogatepass").split()
         if len(words) < WINDOW:
             continue
@@ -85,33 +100,34 @@ def block_paths(docs: list[int], texts: list[str], hashes: WordHashes) -> pa.Rec
     same = np.concatenate([[False], (later[1:] == later[:-1]) & (later[1:] | (m[1:] == m[:-1]))])
     begin, n = _runs(~(follows & same))
     known = later[begin]
-    at = np.where(known, doc[begin] * 1_000_003 + start[begin], m[begin].view(np.int64))  # any place will do for known rows
+    own_doc, own_row = doc_at[doc[begin]], row_at[doc[begin]]
+    at = np.where(known, (own_doc ^ own_row) * 1_000_003 + start[begin], m[begin].view(np.int64))  # any place will do for known rows
     size = np.where(known, 0, n)
     ends = np.concatenate([[0], np.cumsum(size * HASH_BYTES)]).astype(np.int32)
     tail = g[np.repeat(~known, n)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
     blob = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(tail)])
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(doc[begin]), pa.array(start[begin]), pa.array(n.astype(np.int32)), blob], _ROW)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(own_doc), pa.array(own_row), pa.array(start[begin]), pa.array(n.astype(np.int32)), blob], _ROW)
 
 
-def _merge(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Windows in order of rows to paths (doc, start, n)."""
+def _merge(doc: np.ndarray, start: np.ndarray, doc_at: np.ndarray, row_at: np.ndarray) -> pa.RecordBatch:
+    """Windows in order of rows to paths (doc, row, start, n); doc is a rank."""
     begin, n = _runs(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])) if len(doc) else (np.zeros(0, np.int64),) * 2
-    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(start[begin].astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "start", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(doc_at[doc[begin]]), pa.array(row_at[doc[begin]]), pa.array(start[begin].astype(np.int32)), pa.array(n.astype(np.int32))], _PATH)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (at, doc, start): the repeated paths. Of the last key only the windows seen stay in memory."""
+    """Rows sorted by (at, doc, row, start): the repeated paths. Of the last key only the windows seen stay in memory."""
     last, seen = None, np.zeros(0, np.uint64)
     for batch in batches:
-        for row in range(0, batch.num_rows, ROWS):
-            part = batch.slice(row, ROWS)
-            at, doc, start, n = (np.array(part.column(k)) for k in range(4))
-            raw = part.column(4)
+        for a in range(0, batch.num_rows, ROWS):
+            part = batch.slice(a, ROWS)
+            at, doc, row, start, n = (np.array(part.column(k)) for k in range(5))
+            raw = part.column(5)
             ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
             known = np.diff(ends) == 0
             if known.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(start[known]), pa.array(n[known])], ["doc", "start", "n"])
-            at, doc, start, n = at[~known], doc[~known], start[~known], n[~known]
+                yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (doc, row, start, n)], _PATH)
+            at, doc, row, start, n = (x[~known] for x in (at, doc, row, start, n))
             if not len(at):
                 continue
             data = raw.buffers()[2]
@@ -120,13 +136,14 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h[:, :HASH_BYTES] = raw_hashes
             h = h.view("<u8").ravel()
             key = np.cumsum(np.concatenate([[at[0] != last if last is not None else True], at[1:] != at[:-1]])).astype(np.uint64)
-            d, k = np.repeat(doc, n), np.repeat(key, n)
+            rank, doc_at, row_at = _ranks(doc, row)
+            d, k = np.repeat(rank, n), np.repeat(key, n)
             s = np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
             # Windows of the key that went on from before stand first, under no document.
             carried = seen if len(seen) and at[0] == last else np.zeros(0, np.uint64)
             if len(carried):
                 key0 = int(key[0])
-                d = np.concatenate([np.full(len(carried), np.iinfo(np.int64).min), d])
+                d = np.concatenate([np.full(len(carried), -1), d])
                 s = np.concatenate([np.full(len(carried), -1), s])
                 k = np.concatenate([np.full(len(carried), key0, np.uint64), k])
                 h = np.concatenate([carried, h])
@@ -134,35 +151,46 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = h[k == k[-1]]
             last, seen = at[-1], np.unique(own)
             later[: len(carried)] = False
-            yield _merge(d[later], s[later])
+            yield _merge(d[later], s[later], doc_at, row_at)
 
 
-def repeated_paths(docs: DataFrame) -> DataFrame:
-    """doc, start, n: runs of n windows, the first at word `start`, that all started earlier elsewhere."""
+def repeated_paths(rows: DataFrame) -> DataFrame:
+    """doc, row, start, n of _keyed() rows: runs of n windows, the first at word `start`, that all started earlier elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         ids: list[int] = []
+        numbers: list[int] = []
         texts: list[str] = []
         held = 0
         for batch in batches:
-            for a, b in sub_batches(np.array(batch.column(2), np.int64)):
+            for a, b in sub_batches(np.array(batch.column(3), np.int64)):
                 part = batch.slice(a, b - a)
                 ids += part.column(0).to_pylist()
-                texts += part.column(1).to_pylist()
-                held += sum(part.column(2).to_pylist())
+                numbers += part.column(1).to_pylist()
+                texts += part.column(2).to_pylist()
+                held += sum(part.column(3).to_pylist())
                 if held >= BLOCK_CHARS:
-                    yield block_paths(ids, texts, hashes)
-                    ids, texts, held = [], [], 0
+                    yield block_paths(ids, numbers, texts, hashes)
+                    ids, numbers, texts, held = [], [], [], 0
         if texts:
-            yield block_paths(ids, texts, hashes)
+            yield block_paths(ids, numbers, texts, hashes)
 
-    paths = _keyed(docs).withColumn("chars", F.length("text")).mapInArrow(run, "at long, doc long, start int, n int, hashes binary")
-    return paths.repartition("at").sortWithinPartitions("at", "doc", "start").mapInArrow(_compare, "doc long, start int, n int")
+    paths = rows.withColumn("chars", F.length("text")).mapInArrow(run, "at long, doc long, row long, start int, n int, hashes binary")
+    return paths.repartition("at").sortWithinPartitions("at", "doc", "row", "start").mapInArrow(_compare, "doc long, row long, start int, n int")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"), text_or_empty().alias("text"))
+    """doc, row, text: row tells apart the rows of one doc. It is 0 where ids don't repeat; rows without an id are stored with a number."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.count("*").alias("n"))
+    seen = ids.agg(F.count(F.when(F.col("doc").isNull(), 1)).alias("none"), F.count(F.when(F.col("doc").isNotNull() & (F.col("n") > 1), 1)).alias("repeated")).first()
+    doc = F.col("doc_id").cast("long")
+    row = F.xxhash64(text_or_empty()) if seen["repeated"] else F.lit(0).cast("long")
+    named = docs.select(doc.alias("doc"), row.alias("row"), text_or_empty().alias("text")).where("doc is not null")
+    if not seen["none"]:
+        return named
+    bare = docs.where(doc.isNull()).select(F.lit(_NONE).cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
+    return named.unionByName(materialize(bare, "without-id"))
 
 
 def kept_words(text: str, paths: list[dict] | None) -> tuple[list[bytes], int]:
@@ -198,9 +226,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 columns = [part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, ["doc", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text)
 
-    marks = repeated_paths(docs).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
-    rows = _keyed(docs).join(marks, "doc", "left").mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
-    doc_id = F.when(F.col("doc") != F.lit(-(1 << 63)).cast("long"), F.col("doc")).alias("doc_id")
+    keyed = _keyed(docs)
+    marks = repeated_paths(keyed).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
+    rows = keyed.join(marks, ["doc", "row"], "left").select("doc", "text", "paths").mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    doc_id = F.when(F.col("doc") != F.lit(_NONE).cast("long"), F.col("doc")).alias("doc_id")
     return rows.select(doc_id, *rows.columns[1:])
 
 

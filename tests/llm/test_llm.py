@@ -246,6 +246,21 @@ def test_substring_dedup(spark, monkeypatch, block):
     assert len(twice) == 3 and {r["n_removed"] for r in twice if r["doc_id"] == 1} == {brute_removed([(1, words20(texts[3]))])[1][1]}
 
 
+@pytest.mark.parametrize("block", [8_000_000, 100])
+def test_substring_dedup_tells_rows_of_one_id_apart(spark, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK_CHARS", block)
+    own = lambda name, n=30: " ".join(f"{name}{i}" for i in range(n))
+    shared = own("s")
+    # A repeat in the third null row is at words where the first two have others; the passage that two null rows begin with is a repeat.
+    rows = [(None, own("a")), (None, own("b", 70)), (None, f"{own('c', 10)} {own('a')} {own('d', 10)}"), (None, f"{shared} {own('e')}"), (None, f"{shared} {own('f')}")]
+    rows += [(None, own("g")), (None, own("g")), (1, f"{own('h')} {own('i')}"), (1, f"{own('b', 70)}"), (2, own("j"))]
+    got = [tuple(r) for r in substring_dedup.remove_repeats(docs(spark, rows), with_text=True).collect()]
+    assert len(got) == len(rows) and sum(r[2] for r in got if r[0] is None) == 30 + 30 + 30
+    assert sum(r[2] for r in got) == 90 + 70 and {r[2] for r in got if r[0] == 2} == {0} and sorted(r[2] for r in got if r[0] == 1) == [0, 70]
+    left = Counter(w for r in got for w in r[4].split())
+    assert set(left) == {w for _, t in rows for w in t.split()} and set(left.values()) == {1}
+
+
 # ---- 4, 9, tokens ----
 
 
