@@ -1,11 +1,12 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence string kernel with Nyström landmarks.
 
 The kernel compares two words by their common subsequences of ORDER letters, each weighted by DECAY to the power of the length it
-spans in both: inserted letters and gaps weaken a match and don't end it. Landmarks are words of the labelled sample, those that
-tell its classes apart most. A document is described by its best match with each landmark over all its words, mapped by the
-landmarks' own kernel matrix (Nyström), and classified by a linear SVM; a logistic curve over its margin gives the score. A word
-matches a landmark only with SHARED of its distinct letters and half of its neighbouring letters at most three places apart, which
-leaves few pairs to compute. Runs of single letters
+spans in both: inserted letters and gaps weaken a match and don't end it. Landmarks are words of the labelled sample and beginnings
+that several words of a text share (stems); those that tell its classes apart most are taken, but none much like a better one. A
+document is described by its best match with each landmark over all its words, mapped by the landmarks' own kernel matrix (Nyström),
+and by the share of its words that match each: some languages' insults occur in clean texts too, but not as often. A linear SVM
+classifies; a logistic curve over its margin gives the score. A word matches a landmark only with SHARED of its distinct letters and
+half of its neighbouring letters at most three places apart, which leaves few pairs to compute. Runs of single letters
 ("i d i o t") are also read as one word. Distinct words are compared once a worker.
 
 The fit uses at most FIT_ROWS labelled documents, chosen by hash of doc_id among those whose crc32(doc_id) mod 5 isn't 0.
@@ -17,6 +18,7 @@ any length count. Rows are scored one by one, repeated ones alike; labels, lang,
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +34,13 @@ FIT_ROWS = 6000
 LANDMARKS, ORDER, DECAY, SHARED, FLOOR = 64, 3, 0.6, 0.6, 0.25
 #: Standard errors by which a landmark tells the classes apart: few of a million words do by chance.
 LEAST_Z = 6.0
+#: Letters of the beginnings that count as stems of words.
+STEMS = range(5, 9)
+#: Candidates that are looked through, best first, and the match with a better landmark from which one is passed over.
+CANDIDATES, ALIKE = 2000, 0.34
+#: Matches are raised to SHARPER for the share of matching words, so that many poor ones don't add up. Shares are measured by their
+#: median among toxic rows with a full match (USUAL_SHARE if none has one) and count as MOST_SHARE at most.
+SHARPER, USUAL_SHARE, MOST_SHARE = 3, 0.01, 2.0
 #: Kernel values are raised to this power, which is again a kernel and tells like words from equal ones.
 POWER = 3
 #: Values (before the power) that an insult keeps with a letter put in at its end or amid it: toxic rows are repeated in the fit with these.
@@ -84,12 +93,15 @@ def _pairs(codes: np.ndarray, reach: int) -> np.ndarray:
 
 
 class Matcher:
-    """Normalised kernel values of words against landmarks, none below FLOOR."""
+    """Normalised kernel values of words against landmarks, none below FLOOR. A landmark with a star is compared with so many letters of
+    a word as it has itself."""
 
     def __init__(self, landmarks: list[str]) -> None:
         self.landmarks = landmarks
-        self.width = max(map(len, landmarks), default=1)
-        self.t = _codes(landmarks, self.width)
+        bare = [w.rstrip("*") for w in landmarks]
+        self.width = max(map(len, bare), default=1)
+        self.t = _codes(bare, self.width)
+        self.upto = np.array([len(b) if w.endswith("*") else PART for w, b in zip(landmarks, bare)], np.int64)
         self.letters = _letters(self.t)
         self.need = np.ceil(SHARED * np.bitwise_count(self.letters)).astype(np.int64)
         self.pairs = _pairs(self.t, 1)
@@ -127,8 +139,10 @@ class Matcher:
             i, j = x[at : at + 4000], y[at : at + 4000]
             s = codes[i]
             s = s[:, : max(1, int((s != 0).sum(axis=1).max()))]
-            mine, back = np.unique(i, return_inverse=True)
-            value = subsequence_kernel(s, self.t[j]) / np.maximum(self.norm(codes[mine])[back] * self.own[j], 1e-9)
+            s = np.where(np.arange(s.shape[1])[None, :] < self.upto[j][:, None], s, 0)
+            mine, back = np.unique(i * (PART + 1) + self.upto[j], return_inverse=True)
+            norm = self.norm(np.where(np.arange(PART)[None, :] < (mine % (PART + 1))[:, None], codes[mine // (PART + 1)], 0))
+            value = subsequence_kernel(s, self.t[j]) / np.maximum(norm[back] * self.own[j], 1e-9)
             np.maximum.at(out, (np.array(owner)[i], j), np.where(value >= FLOOR, value**POWER, 0).astype(np.float32))
         return out
 
@@ -149,7 +163,7 @@ class Matcher:
         return np.fromiter((known[w] for w in raw), np.int64, len(raw))
 
     def describe(self, texts: pa.Array) -> np.ndarray:
-        """(texts, landmarks): the best match over each text's words."""
+        """(texts, 2 x landmarks): the best match over each text's words; the sum of matches by number of words."""
         if len(self.known) > MOST_WORDS:
             self.reset()
         clean = pc.utf8_lower(texts)
@@ -162,10 +176,14 @@ class Matcher:
         at = np.asarray(coded.indices)
         row = self.rows_of(words)[at]
         out = np.zeros((len(texts), len(self.landmarks)), np.float32)
+        sums = np.zeros_like(out)
+        there = np.concatenate([[0], np.cumsum(np.fromiter((w != "" for w in words), bool, len(words))[at])])
         hit = np.flatnonzero(row)
         doc = np.searchsorted(offsets, hit, side="right") - 1
         if len(hit):
-            np.maximum.at(out, doc, np.array(self.rows)[row[hit]])
+            found = np.array(self.rows)[row[hit]]
+            np.maximum.at(out, doc, found)
+            np.add.at(sums, doc, found**SHARPER)
         # Runs of three or more single letters, as one word.
         single = np.fromiter((len(w) == 1 and w.isalnum() for w in words), bool, len(words))[at]
         if single.any():
@@ -181,7 +199,9 @@ class Matcher:
                     if b - a >= 3:
                         found = self.match(["".join(words[i] for i in at[a:b])])[0]
                         out[k] = np.maximum(out[k], found)
-        return out
+                        sums[k] += found**SHARPER
+        n = np.maximum(there[offsets[1:]] - there[offsets[:-1]], 1)
+        return np.hstack([out, sums / n[:, None]]).astype(np.float32)
 
 
 class Model:
@@ -190,9 +210,12 @@ class Model:
     def __init__(self, landmarks: list[str], x: np.ndarray, y: np.ndarray) -> None:
         self.landmarks = landmarks
         matcher = Matcher(landmarks)
-        w = matcher.match(landmarks).astype(np.float64)
+        w = matcher.match([w.rstrip("*") for w in landmarks]).astype(np.float64)
         value, vector = np.linalg.eigh((w + w.T) / 2 + 1e-3 * np.eye(len(landmarks)))
         self.map = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
+        toxic = np.asarray(x, np.float64)[np.asarray(y) > 0]
+        pairs = zip(toxic[:, : len(landmarks)].T, toxic[:, len(landmarks) :].T)
+        self.scale = 1 / np.array([np.median(c[full]) if (full := m >= 0.99).any() else USUAL_SHARE for m, c in pairs])
         real, x, y = len(y), *self._gapped(np.asarray(x, np.float64), np.asarray(y))
         z = self._features(x)
         sign = np.where(y > 0, 1.0, -1.0)
@@ -219,19 +242,20 @@ class Model:
     @staticmethod
     def _gapped(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows and, for toxic ones, copies whose insults are less exact, as far as clean rows don't come as near to that landmark."""
-        xs, ys = [x], [y]
+        xs, ys, n = [x], [y], x.shape[1] // 2
         for value in GAPPED:
             v = value**POWER
-            free = (x[y <= 0] >= 0.9 * v).mean(axis=0) < 0.005
+            free = (x[y <= 0, :n] >= 0.9 * v).mean(axis=0) < 0.005
             toxic = x[y > 0]
-            full = (toxic >= 0.99) & free
+            full = (toxic[:, :n] >= 0.99) & free
             rows = full.any(axis=1)
-            xs.append(np.where(full, v, toxic)[rows])
+            xs.append(np.hstack([np.where(full, v, toxic[:, :n]), np.where(full, v * toxic[:, n:], toxic[:, n:])])[rows])
             ys.append(np.ones(rows.sum()))
         return np.concatenate(xs), np.concatenate(ys)
 
     def _features(self, x: np.ndarray) -> np.ndarray:
-        return np.hstack([np.asarray(x, np.float64) @ self.map, np.ones((len(x), 1))])
+        x, n = np.asarray(x, np.float64), len(self.landmarks)
+        return np.hstack([x[:, :n] @ self.map, np.minimum(x[:, n:] * self.scale, MOST_SHARE), np.ones((len(x), 1))])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * (self._features(x) @ self.w) + self.b, -30, 30)))
@@ -251,21 +275,34 @@ def _described(rows: DataFrame, landmarks: list[str], finish: Callable, schema:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each text, without marks. A word is to count once a family of near copies, which mostly share the least hash
-    over their words; that hash stands for the text."""
+    """Distinct words of each text, without marks, and beginnings that several of them share, marked by a star. A word is to count once a family of near
+    copies, which mostly share the least hash over their pairs of neighbouring words; that hash stands for the text."""
     from xxhash import xxh64_intdigest
 
     for batch in batches:
         toxic, family, word = [], [], []
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = {"".join(filter(str.isalnum, w)) for w in text.lower().split()} or {""}
-            least = min(xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in own) >> 1
+            every = text.lower().split()
+            own = {"".join(filter(str.isalnum, w)) for w in every} or {""}
+            least = min(xxh64_intdigest(f"{a} {b}".encode("utf-8", "surrogatepass")) for a, b in zip(every or [""], every[1:] or [""])) >> 1
+            own |= {stem + "*" for stem, n in Counter(w[:k] for w in own for k in STEMS if len(w) >= k).items() if n > 1}
             toxic += [label] * len(own)
             family += [least] * len(own)
             word += own
         yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(family, pa.int64()), pa.array(word, pa.string())], ["toxic", "family", "word"])
 
 
+def _unlike(candidates: list[str], most: int) -> list[str]:
+    """The first candidates, without those much like one before them."""
+    bare, found = [w.rstrip("*") for w in candidates], []
+    for k, row in enumerate(Matcher(candidates).match(bare)):
+        if not any(row[j] >= ALIKE or bare[k].startswith(bare[j]) or bare[j].startswith(bare[k]) for j in found):
+            found.append(k)
+            if len(found) == most:
+                break
+    return [candidates[k] for k in found]
+
+
 def _held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
@@ -288,14 +325,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
         return float(np.mean(classes))
-    tallies = seen.where(F.length("word").between(ORDER, PART)).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where("n >= 3")
+    bare = F.regexp_replace("word", r"\*$", "")
+    tallies = seen.where(F.length(bare).between(ORDER, PART)).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where("n >= 3")
     gap = F.col("t") / bad - (F.col("n") - F.col("t")) / good
     # How far apart the classes' shares are, against the spread that chance gives.
     z = gap / F.sqrt((F.col("n") / (bad + good)) * (1.0 / bad + 1.0 / good))
-    ranked = tallies.select("word", z.alias("z")).where(F.abs("z") >= LEAST_Z)
-    top = ranked.orderBy(F.desc("z"), "word").limit(LANDMARKS * 3 // 4).collect()
-    low = ranked.orderBy("z", "word").limit(LANDMARKS // 4).collect()
-    landmarks = sorted({r["word"] for r in top} | {r["word"] for r in low})
+    weight = F.when(F.col("word").endswith("*"), 0.8 + 0.02 * F.length(bare)).otherwise(1.0)  # whole words before stems, long before short
+    ranked = tallies.select("word", F.length(bare).alias("letters"), (z * weight).alias("z")).where(F.abs("z") >= LEAST_Z)
+    top = ranked.orderBy(F.desc("z"), F.desc("letters"), "word").limit(CANDIDATES).where("z > 0").collect()
+    low = ranked.orderBy("z", F.desc("letters"), "word").limit(CANDIDATES).where("z < 0").collect()
+    landmarks = sorted({*_unlike([r["word"] for r in top], LANDMARKS * 3 // 4), *_unlike([r["word"] for r in low], LANDMARKS // 4)})
     if not landmarks:
         return float(np.mean(classes))
 

@@ -500,6 +500,25 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_toxicity_counts_how_often_insults_occur(spark):
+    rnd = random.Random(6)
+    clean = [f"{a}{b}{c}" for a in ("lom", "tas", "ver", "nid", "kep") for b in ("ar", "ol", "ush", "im") for c in ("en", "ock", "yl", "at", "ud", "isp")]
+    ends = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ri", "sa", "to") for b in ("d", "f", "l", "m", "n", "r", "s", "t")]
+    rows = []
+    for i in range(800):
+        own = [rnd.choice(clean) for _ in range(100)]
+        bad = i % 6 == 0
+        for k in rnd.sample(range(100), 4 if bad else i % 2):
+            own[k] = "grubz" + rnd.choice(ends)
+        rows.append((i, " ".join(own), int(bad)))
+    d, labels = docs(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, toxic int")
+    model = toxicity.fit(d, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(d, model).collect()}
+    held = [(got[i]["predicted"], b) for i, _, b in rows if got[i]["held_out"]]
+    assert sum(p == b for p, b in held) / len(held) > 0.97 and sum(p for p, b in held if b) > 0.9 * sum(b for _, b in held)
+    assert sum(w.startswith("grubz") for w in model.landmarks) == 1  # one stem's variants don't fill the list
+
+
 # ---- pipeline ----
 
 
