@@ -2,7 +2,8 @@
 
 The kernel compares two words by their common subsequences of ORDER letters, each weighted by DECAY to the power of the length it
 spans in both: inserted letters and gaps weaken a match and don't end it. Landmarks are words of the labelled sample and beginnings
-that several words of a text share (stems); those that tell its classes apart most are taken, but none much like a better one. A
+that several words of a text share (stems); those that tell its classes apart most are taken, but none much like a better one:
+all that chance can't explain, and the best there are where those are few. A
 document is described by its best match with each landmark over all its words, mapped by the landmarks' own kernel matrix (Nyström),
 and by the share of its words that match each: some languages' insults occur in clean texts too, but not as often. A linear SVM
 classifies; a logistic curve over its margin gives the score. A word matches a landmark only with SHARED of its distinct letters and
@@ -18,6 +19,7 @@ any length count. Rows are scored one by one, repeated ones alike; labels, lang,
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -32,8 +34,8 @@ from colsmith.llm.common import kept, materialize, sub_batches, text_or_empty
 
 FIT_ROWS = 6000
 LANDMARKS, ORDER, DECAY, SHARED, FLOOR = 64, 3, 0.6, 0.6, 0.25
-#: Standard errors by which a landmark tells the classes apart: few of a million words do by chance.
-LEAST_Z = 6.0
+#: Share of landmarks that may be there by chance, and landmarks that are taken in any case: the best there are, however small the sample.
+BY_CHANCE, BEST = 0.05, 16
 #: Letters of the beginnings that count as stems of words.
 STEMS = range(5, 9)
 #: Candidates that are looked through, best first, and the match with a better landmark from which one is passed over.
@@ -303,6 +305,19 @@ def _unlike(candidates: list[str], most: int) -> list[str]:
     return [candidates[k] for k in found]
 
 
+def _beyond_chance(found: list, rate: float, tests: int) -> list[bool]:
+    """Of tallies (t toxic ones of n), which tell the classes apart, at most BY_CHANCE of them by chance; rate: the share of toxic ones."""
+
+    def chance(t: int, n: int) -> float:
+        # The binomial tail from t on away from the mean.
+        inside = range(t, n + 1) if t > n * rate else range(t + 1)
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate)) for k in inside)
+
+    p = np.array([chance(r["t"], r["n"]) for r in found])
+    fine = np.sort(p) <= BY_CHANCE * np.arange(1, len(p) + 1) / tests
+    return (p <= (np.sort(p)[fine].max() if fine.any() else -1)).tolist()
+
+
 def _held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
@@ -326,15 +341,23 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     if not bad or not good:
         return float(np.mean(classes))
     bare = F.regexp_replace("word", r"\*$", "")
-    tallies = seen.where(F.length(bare).between(ORDER, PART)).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where("n >= 3")
+    all_tallies = seen.where(F.length(bare).between(ORDER, PART)).groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    tallies = materialize(all_tallies, "tallies")
+    if tests := tallies.where("n >= 3").count():
+        tallies = tallies.where("n >= 3")
     gap = F.col("t") / bad - (F.col("n") - F.col("t")) / good
     # How far apart the classes' shares are, against the spread that chance gives.
     z = gap / F.sqrt((F.col("n") / (bad + good)) * (1.0 / bad + 1.0 / good))
     weight = F.when(F.col("word").endswith("*"), 0.8 + 0.02 * F.length(bare)).otherwise(1.0)  # whole words before stems, long before short
-    ranked = tallies.select("word", F.length(bare).alias("letters"), (z * weight).alias("z")).where(F.abs("z") >= LEAST_Z)
-    top = ranked.orderBy(F.desc("z"), F.desc("letters"), "word").limit(CANDIDATES).where("z > 0").collect()
-    low = ranked.orderBy("z", F.desc("letters"), "word").limit(CANDIDATES).where("z < 0").collect()
-    landmarks = sorted({*_unlike([r["word"] for r in top], LANDMARKS * 3 // 4), *_unlike([r["word"] for r in low], LANDMARKS // 4)})
+    ranked = tallies.select("word", "t", "n", F.length(bare).alias("letters"), (z * weight).alias("z"))
+    chosen = set()
+    for side, most, least in ((F.col("z"), LANDMARKS * 3 // 4, BEST), (-F.col("z"), LANDMARKS // 4, 0)):
+        best = ranked.where(side > 0).orderBy(side.desc(), F.desc("letters"), "word").limit(CANDIDATES).collect()
+        sure = _beyond_chance(best, bad / (bad + good), max(1, tests))
+        passing, rest = ([r["word"] for r, s in zip(best, sure) if s == k] for k in (True, False))
+        own = _unlike(passing, most)
+        chosen.update(own if len(own) >= least else _unlike(passing + rest[: 10 * least], least))
+    landmarks = sorted(chosen)
     if not landmarks:
         return float(np.mean(classes))
 

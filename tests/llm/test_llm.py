@@ -519,6 +519,19 @@ def test_toxicity_counts_how_often_insults_occur(spark):
     assert sum(w.startswith("grubz") for w in model.landmarks) == 1  # one stem's variants don't fill the list
 
 
+def test_toxicity_learns_from_few_labels(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(d, labels)
+    insults = {"trash", "scum", "moron", "loser", "disgusting", "worthless", "pathetic", "clown"}
+    rows = toxicity.score(d, model).join(labels, "doc_id").join(d.select("doc_id", "text"), "doc_id").where("toxic is not null").collect()
+    bad = [r["predicted"] for r in rows if r["toxic"] and insults & set(re.findall(r"\w+", r["text"].lower()))]
+    clean = [r["predicted"] for r in rows if not r["toxic"]]
+    assert len(bad) >= 5 and sum(bad) >= 0.9 * len(bad) and sum(clean) <= 0.05 * len(clean)
+    # Two labelled rows of two classes are enough for a model.
+    two = docs(spark, [(1, "grumbling sweeps over"), (2, "the quiet hill"), (3, "grumbling again")])
+    assert not isinstance(toxicity.fit(two, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")), float)
+
+
 # ---- pipeline ----
 
 
