@@ -42,7 +42,7 @@ class Run:
 
     def __init__(self, spark: SparkSession, stdin: Sequence[str], out) -> None:
         self.spark, self.stdin, self.out, self.header = spark, stdin, out, "none"
-        self.format = Format()
+        self.format, self.eol = Format(), None
 
     def table(self, name: str) -> DataFrame:
         f = self.format
@@ -55,6 +55,7 @@ class Run:
         else:
             first = scan._first_line(self.spark, name)
             df = scan.read_text(self.spark, name, f)
+            self.eol = self.eol or scan.eol_of(self.spark, name)
         if first is not None and first.startswith(MARK):
             self.header = "marked"
             self.format = scan.header_of(first, f)[1]
@@ -69,7 +70,7 @@ class Run:
         return flt.concat(self.tables(names))
 
     def show(self, df: DataFrame, header: str | None = None, to: str = "-") -> None:
-        o = replace(sink.derived(self.format), header=self.header if header is None else header)
+        o = replace(sink.derived(self.format, eol=self.eol), header=self.header if header is None else header)
         order = [c for c in ("_file_no", "_row") if c in df.columns]
         text = sink.to_text(df.orderBy(*order) if order else df, o)
         if to == "-":

@@ -105,15 +105,9 @@ def rank(df: DataFrame, keys: Sequence[str], row: Sequence[str], name: str = "rn
     k = Keys.parse(df, keys)
     if within:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*within).orderBy(*k.order(), *[F.col(c) for c in row])))
-    if any("rev" in c.mods for c in k.comparators) or not all(c.method in ("plain", "", "lower", "float", "length", "expr") for c in k.comparators):
-        named, names = k.named()
-        size = df.count()
-        if size > 100_000:
-            raise ValueError("rank: without groups, reversed or structured keys are ranked up to 100000 rows; sort them instead")
-        order = [F.col(n).desc() if "rev" in c.mods else F.col(n).asc() for n, c in zip(names, k.comparators)]
-        return named.withColumn(name, F.row_number().over(W.orderBy(*order, *[F.col(c) for c in row])).cast("long")).drop(*names)
     named, names = k.named()
-    return Ordered(named, [*names, *row]).running(name).done().drop(*names)
+    down = {n for n, c in zip(names, k.comparators) if "rev" in c.mods}
+    return Ordered(named, [*names, *row], down=down).running(name).done().drop(*names)
 
 
 def check(df: DataFrame, by: Sequence[str], keys: Sequence[str] = (), unique: bool = False, limit: int | None = None) -> DataFrame:

@@ -1,54 +1,86 @@
 """Row order on an unordered engine: numbering, running totals and previous rows without a window over the whole table.
 
-Rows are cut into buckets at literal bounds of the order keys, taken from a hash sample of bounded size. A bucket is a function of the
-row alone, so every stage and every retry agrees on it. Windows run within buckets; one small row a bucket (its total, its last
-row) carries what goes across. Tables of up to SMALL rows, by count, are one bucket.
+Rows are cut into buckets at bounds of the order keys, taken from a hash sample of bounded size; the number of buckets follows the
+number of rows. The bounds are one sorted array, collected once, and a row finds its bucket by binary search, so a bucket is a
+function of the row alone and every stage and every retry agrees on it. Keys may be of any ordered type (structs and arrays too), each
+ascending or descending. Windows run within buckets; one small row a bucket (its total, its last row) carries what goes across.
+Tables of up to SMALL rows, by count, are one bucket.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
-from collections.abc import Sequence
+import itertools
+import math
+from collections.abc import Collection, Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-SMALL, SAMPLE = 100_000, 4000
+#: Rows that one window takes at once without buckets; rows of a bucket; buckets at most; sampled keys a bucket.
+SMALL, ROWS, MOST, SAMPLED = 100_000, 1_000_000, 50_000, 8
 
 
-def _after(keys: Sequence[Column], bound: Row) -> Column:
-    """Whether a row's keys come after a bound, key by key, nulls first."""
+def _after(names: Sequence[str], down: Collection[str], bound: Column) -> Column:
+    """Whether a row's keys come after a bound. Structs compare field by field, nulls first; neighbours of one direction go together."""
     found = F.lit(False)
-    for k, v in reversed(list(zip(keys, bound))):
-        if v is None:
-            found = k.isNotNull() | (k.isNull() & found)
-        else:
-            found = (k.isNotNull() & (k > F.lit(v))) | (k.eqNullSafe(F.lit(v)) & found)
+    groups = [(way, list(g)) for way, g in itertools.groupby(names, lambda n: n in down)]
+    for way, own in reversed(groups):
+        here, there = F.struct(*own), F.struct(*[bound[n].alias(n) for n in own])
+        past = here < there if way else here > there
+        found = past | ((here == there) & found)
     return found
 
 
+def _bucketed(df: DataFrame, names: Sequence[str], down: Collection[str], bounds: Column, n: int) -> DataFrame:
+    """Adds _bucket, the number of bounds (sorted, n of them) that a row's keys come after: a binary search by halving steps."""
+    df = df.withColumn("_bucket", F.lit(0))
+    for k in range(n.bit_length() - 1, -1, -1):
+        there = F.col("_bucket") + (1 << k)
+        past = (there <= n) & _after(names, down, F.element_at(bounds, F.least(there, F.lit(n))))
+        df = df.withColumn("_bucket", F.when(past, there).otherwise(F.col("_bucket")))
+    return df
+
+
 class Ordered:
-    """A table in the order of its columns `by` (a unique key, ascending, nulls first)."""
+    """A table in the order of its columns `by` (a unique key); ascending with nulls first, columns of `down` the other way round."""
 
-    def __init__(self, df: DataFrame, by: Sequence[str], small: int = SMALL, buckets: int | None = None) -> None:
-        self.by = list(by)
+    def __init__(self, df: DataFrame, by: Sequence[str], small: int = SMALL, buckets: int | None = None, down: Collection[str] = ()) -> None:
+        self.by, self.down = list(by), frozenset(down)
         n = df.count()
-        bucket: Column = F.lit(0)
+        order = [F.col(c).desc_nulls_last() if c in self.down else F.col(c).asc_nulls_first() for c in self.by]
+        self.window = W.partitionBy("_bucket").orderBy(*order)
         self.whole = n <= small
-        if not self.whole:
-            parts = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-            every = max(1, n // SAMPLE)
-            sample = df.select(*self.by).where(F.pmod(F.xxhash64(*self.by), F.lit(every)) == 0).orderBy(*[F.col(c).asc_nulls_first() for c in self.by]).limit(4 * SAMPLE).collect()
-            bounds = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
-            keys = [F.col(c) for c in self.by]
-            bucket = functools.reduce(operator.add, [F.when(_after(keys, b), 1).otherwise(0) for b in bounds], F.lit(0))
-        self.df = df.withColumn("_bucket", bucket)
-        self.window = W.partitionBy("_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in self.by])
-
-    def _across(self, per: DataFrame) -> DataFrame:
-        return self.df.join(F.broadcast(per), "_bucket", "left")  # one row a bucket
+        self.parts = 1
+        if self.whole:
+            self.df = df.withColumn("_bucket", F.lit(0))
+            return
+        spark = df.sparkSession
+        parts = buckets or min(MOST, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / ROWS)))
+        every = max(1, n // (SAMPLED * parts))
+        # Rows, not keys, are drawn: a key that repeats isn't drawn as a whole. About SAMPLED keys a bucket come to the driver.
+        drawn = df.select(*self.by).where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0)
+        keys = drawn.orderBy(*order).collect()
+        bounds = [keys[i * len(keys) // parts] for i in range(1, parts)] if keys else []
+        bounds = [b for b, _ in itertools.groupby(bounds)]
+        if not bounds:
+            self.df = df.withColumn("_bucket", F.lit(0))
+            return
+        self.parts = len(bounds) + 1
+        kind = StructType([StructField("b", ArrayType(drawn.schema))])
+        one = spark.createDataFrame([(bounds,)], kind).select("b")
+        self.df = _bucketed(df, self.by, self.down, one.scalar(), len(bounds))
+
+    def _placed(self) -> DataFrame:
+        """The rows by bucket, in as many partitions as there are buckets: none holds more than a few of them."""
+        if self.parts > 1:
+            self.df = self.df.repartition(self.parts, "_bucket")
+            self.parts = 1
+        return self.df
+
+    def _across(self, df: DataFrame, per: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(per), "_bucket", "left")  # one row a bucket
 
     def running(self, name: str, value: Column | None = None, start: int = 0) -> Ordered:
         """Adds the running total of value (1 by default, which numbers rows from start + 1)."""
@@ -57,22 +89,22 @@ class Ordered:
         if self.whole:
             self.df = self.df.withColumn(name, total + start)
             return self
-        sums = self.df.withColumn("_v", value.cast("long")).groupBy("_bucket").agg(F.sum("_v").alias("_s"))
+        sums = self.df.select("_bucket", value.cast("long").alias("_v")).groupBy("_bucket").agg(F.sum("_v").alias("_s"))
         before = sums.select("_bucket", (F.sum("_s").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).alias("_before"))
-        self.df = self.df.withColumn(name, total)
-        self.df = self._across(before).withColumn(name, F.col(name) + F.col("_before") + start).drop("_before")
+        self.df = self._across(self._placed().withColumn(name, total), before).withColumn(name, F.col(name) + F.col("_before") + start).drop("_before")
         return self
 
     def previous(self, name: str, value: Column) -> Ordered:
-        """Adds value of the row before as a struct with the field v; null before the first row."""
+        """Adds value of the row before as a struct with the field v; null before the first row. For ascending keys."""
+        if self.down:
+            raise ValueError("previous: the keys must be ascending")
         boxed = F.struct(value.alias("v"))
         if self.whole:
             self.df = self.df.withColumn(name, F.lag(boxed).over(self.window))
             return self
         last = self.df.groupBy("_bucket").agg(F.max_by(boxed, F.struct(*self.by)).alias("_last"))
         last = last.select("_bucket", F.lag("_last").over(W.orderBy("_bucket")).alias("_last"))
-        self.df = self.df.withColumn(name, F.lag(boxed).over(self.window))
-        self.df = self._across(last).withColumn(name, F.coalesce(name, "_last")).drop("_last")
+        self.df = self._across(self._placed().withColumn(name, F.lag(boxed).over(self.window)), last).withColumn(name, F.coalesce(name, "_last")).drop("_last")
         return self
 
     def done(self) -> DataFrame:

@@ -71,23 +71,26 @@ def tokenize(line: str, f: Format) -> list[str]:
     return out
 
 
-def records(text: str, f: Format) -> Iterator[str]:
-    """Records of a text: a line feed within open quotes goes on, ends the record, or is an error."""
-    lines = re.split(r"\r\n|\n|\r", text)
-    if lines and lines[-1] == "":
-        lines.pop()
-    held = ""
-    for line in lines:
-        held = f"{held}\n{line}" if held else line
+def records(text: str, f: Format) -> Iterator[tuple[str, int]]:
+    """(record, its first byte) of a text: a line end within open quotes goes on as a line feed, ends the record, or is an error."""
+    held, begin, at = None, 0, 0
+    for m in re.finditer(r"([^\r\n]*)(\r\n|\n|\r|\Z)", text):
+        if not m[0]:
+            break
+        if held is None:
+            held, begin = m[1], at
+        else:
+            held = f"{held}\n{m[1]}"
+        at += len(m[0].encode("utf-8", "surrogatepass"))
         if f.quotes and _open(held, f):
             if f.unterminated == "error":
-                raise ValueError(f"quotes still open at the end of {line!r}")
+                raise ValueError(f"quotes still open at the end of {m[1]!r}")
             if f.unterminated == "continue":
                 continue
-        yield held
-        held = ""
-    if held:
-        yield held
+        yield held, begin
+        held = None
+    if held is not None:
+        yield held, begin
 
 
 def _open(line: str, f: Format) -> bool:
@@ -180,32 +183,54 @@ def read_lines(spark: SparkSession, lines: Sequence[str] | str, spec: str | Form
     return _from_records(spark, inline(lines) if isinstance(lines, str) else lines, f, name)
 
 
+def _stream(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.open(where) if fs.exists(where) and fs.getFileStatus(where).isFile() else None
+
+
+def is_packed(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins like gzip, on any file system of Spark's."""
+    data = _stream(spark, path)
+    if data is None:
+        return False
+    try:
+        return [data.read() for _ in range(3)] == [0x1F, 0x8B, 8]
+    finally:
+        data.close()
+
+
+def eol_of(spark: SparkSession, path: str) -> str:
+    """The end of a file's first line: a line feed, a carriage return, or both; a line feed if there is none."""
+    if not path.endswith(".gz") and is_packed(spark, path):
+        return "\n"
+    row = spark.read.option("lineSep", "\n").text(path).select(F.col("value").rlike("^[^\r]*\r$").alias("both"), F.col("value").rlike("\r").alias("some")).limit(1).first()
+    return "\n" if row is None or not row["some"] else "\r\n" if row["both"] else "\r"
+
+
 def read_text(spark: SparkSession, path: str, spec: str | Format = "") -> DataFrame:
-    """One text file, from any file system of Spark's (s3a:// too); gzip is told by its first bytes on local files, by name elsewhere.
+    """One text file, from any file system of Spark's (s3:// is s3a://); gzip is told by its first bytes, whatever the file's name.
 
-    Without open quotes across lines the file is read in parallel. Row numbers and offsets come from each split's counts, one small
-    row a split; quotes that may hold line feeds need the records in order, so such a file is one task.
+    Line ends may be line feeds, carriage returns or both, mixed. Without open quotes across lines the file is read in parallel, cut at
+    line feeds. Row numbers and offsets come from each split's counts, one small row a split; quotes that may hold line ends need
+    the records in order, so such a file is one task, and so is one of carriage returns alone. A header is the file's first record.
     """
     f = parse(spec) if isinstance(spec, str) else spec
-    local = path.removeprefix("file://")
-    if "://" not in local and not local.endswith(".gz"):
-        try:
-            with open(local, "rb") as h:
-                packed = h.read(3) == b"\x1f\x8b\x08"
-        except (IsADirectoryError, FileNotFoundError):
-            packed = False
-        if packed:  # gzip under another name: Spark chooses codecs by name
-            with gzip.open(local, "rt", encoding="utf-8", newline="") as h:
-                return _from_records(spark, list(records(h.read(), f)), f, path)
+    path = re.sub("^s3://", "s3a://", path)
+    if not path.endswith(".gz") and is_packed(spark, path):  # Spark chooses codecs by name
+        return _numbered(spark, _unpacked(spark, path), path, f)
     if f.quotes and f.unterminated in ("continue", "error"):
-        return _read_whole(spark, path, f)
-    names, f2, is_header = header_of(_first_line(spark, path), f)
-    raw = spark.read.text(path).select(F.col("value").alias("_line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+        return _numbered(spark, spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")), path, f)
+    first = _first_line(spark, path)
+    names, f2, is_header = header_of(first, f)
     if names is None:
-        first = _first_line(spark, path)
         names = [f"c{i + 1}" for i in range(len(tokenize(first, f2)) if first is not None else 1)]
-    raw = raw.withColumn("_size", F.octet_length("_line") + 1)
-    inside = W.partitionBy("_file", "_block").orderBy("_id").rowsBetween(W.unboundedPreceding, 0)
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    # What ends in a line feed may end in a carriage return too, and hold lines that end in one alone.
+    pieces = F.split(F.regexp_replace("value", "\r$", ""), "\r", -1)
+    raw = raw.select("_file", "_block", "_id", F.endswith("value", F.lit("\r")).alias("_cr"), F.size(pieces).alias("_pieces"), F.posexplode(pieces).alias("_at", "_line"))
+    raw = raw.withColumn("_size", F.octet_length("_line") + 1 + F.when(F.col("_cr") & (F.col("_at") + 1 == F.col("_pieces")), 1).otherwise(0))
+    inside = W.partitionBy("_file", "_block").orderBy("_id", "_at").rowsBetween(W.unboundedPreceding, 0)
     per = raw.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.sum("_size").alias("_s"))
     up_to = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, 0)
     per = per.select("_file", "_block", (F.sum("_n").over(up_to) - F.col("_n")).alias("_n0"), (F.sum("_s").over(up_to) - F.col("_s")).alias("_s0"))
@@ -217,28 +242,40 @@ def read_text(spark: SparkSession, path: str, spec: str | Format = "") -> DataFr
     return _columns(here, names, f2)
 
 
-def _read_whole(spark: SparkSession, path: str, f: Format) -> DataFrame:
-    """A file whose records may hold line feeds: one task reads it in order."""
-    files = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+def _unpacked(spark: SparkSession, path: str) -> DataFrame:
+    """value, file of a gzip file under another name, unpacked by a task."""
+
+    def unpack(batches):
+        for pdf in batches:
+            for content, file in zip(pdf["content"], pdf["path"]):
+                yield pd.DataFrame([(gzip.decompress(content).decode("utf-8", "replace"), file)], columns=["value", "file"])
+
+    return spark.read.format("binaryFile").load(path).select("content", "path").mapInPandas(unpack, "value string, file string")
+
+
+def _numbered(spark: SparkSession, files: DataFrame, path: str, f: Format) -> DataFrame:
+    """Rows of whole texts (value, file), each text's records in order by one task."""
+    row = files.select(F.regexp_extract("value", "^\ufeff?([^\r\n]*)", 1).alias("line")).limit(1).first()
+    names, f2, is_header = header_of(row["line"] if row else None, f)
 
     def cut(batches):
         for pdf in batches:
             for text, file in zip(pdf["value"], pdf["file"]):
-                at, rows = 0, []
-                for n, record in enumerate(records(text, f)):
-                    rows.append((file, n + 1, at, record))
-                    at += len(record.encode()) + 1
+                rows, skip = [], 0
+                for n, (record, at) in enumerate(records(text, f2)):
+                    if n == is_header:
+                        skip = at
+                    if n >= is_header:
+                        rows.append((file, n + 1 - is_header, at - skip, record.removeprefix("\ufeff") if n == 0 else record))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["_file", "_row", "_byte", "_line"])
+                        rows = []
                 yield pd.DataFrame(rows, columns=["_file", "_row", "_byte", "_line"])
 
-    first = _first_line(spark, path)
-    names, f2, is_header = header_of(first, f)
     rows = files.mapInPandas(cut, "_file string, _row long, _byte long, _line string")
     if names is None:
         one = rows.where("_row = 1").select("_line").first()
         names = [f"c{i + 1}" for i in range(len(tokenize(one[0], f2)) if one else 1)]
-    if is_header:
-        size = len((first or "").encode()) + 1
-        rows = rows.where("_row > 1").select("_file", (F.col("_row") - 1).alias("_row"), (F.col("_byte") - size).alias("_byte"), "_line")
     return _columns(rows, names, f2)
 
 

@@ -27,13 +27,13 @@ class Output:
     eol: str = "\n"
 
 
-def derived(f: Format, header: str = "none") -> Output:
-    """The output that matches an input format."""
+def derived(f: Format, header: str = "none", eol: str | None = None) -> Output:
+    """The output that matches an input format; eol is the input's line end, which a format with one of its own overrides."""
     if f.backslash:
         escape = "quote-backslash" if f.quotes else "backslash"
     else:
         escape = "quote-doubled" if f.quotes else "replace:" + ("." if f.delimiter == " " else " ")
-    return Output(f.delimiter, escape, f.quotes[0][0] if f.quotes else '"', header, "\r\n" if f.crlf else "\n")
+    return Output(f.delimiter, escape, f.quotes[0][0] if f.quotes else '"', header, "\r\n" if f.crlf else eol or "\n")
 
 
 def escaped(c: Column, o: Output) -> Column:

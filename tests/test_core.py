@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colsmith.functions import expr as X
@@ -26,7 +27,7 @@ from colsmith.operators.zip import paste
 from colsmith.plans import columns as C
 from colsmith.plans.ordering import Ordered, number_rows
 from colsmith.sources import sink
-from colsmith.sources.scan import inline, read_lines, read_text, records, tokenize
+from colsmith.sources.scan import eol_of, inline, read_lines, read_text, records, tokenize
 from colsmith.sources.spec import MARK, Format, parse
 
 GRID = MARK + "\tone\ttwo\tthree\naaa\tbbb\tccc\nddd\teee\tfff"
@@ -296,6 +297,34 @@ def test_bucketed_order_is_the_same(spark):
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
 
+def test_rank_of_any_size(spark):
+    n = 250_000
+    v = F.when(F.col("id") % 11 == 0, None).otherwise(F.format_number(F.xxhash64("id") % 100_000 / 100, 2))
+    df = spark.range(n).select("id", (F.xxhash64("id") % 1000 / 7).alias("x"), F.concat_ws(".", (F.col("id") % 256).cast("string"), (F.col("id") % 7).cast("string")).alias("ip"), v.alias("v"))
+    for keys in (["x,float.rev"], ["ip,ip"], ["v,numeric"], ["v,length.rev", "x,float"]):
+        k = st.Keys.parse(df, keys)
+        named, names = k.named()
+        order = [F.col(c).desc() if "rev" in m.mods else F.col(c).asc() for c, m in zip(names, k.comparators)]
+        want = named.select("id", F.row_number().over(Window.orderBy(*order, "id")).alias("want"))
+        assert st.rank(df, keys, ["id"]).join(want, "id").agg(F.count("*"), F.count_if(F.col("rn") == F.col("want"))).first()[:] == (n, n), keys
+
+
+def test_line_ends_and_offsets(spark, tmp_path):
+    body = b"one,two\r\na,1\r\n\xc3\xa9,22\nb,3\rc,4\r\n\r\nd,5"
+    p = tmp_path / "mixed.csv"
+    p.write_bytes(body)
+    at = lambda text: body.index(text) - 9
+    want = [(1, "a,1", 0), (2, "é,22", at(b"\xc3")), (3, "b,3", at(b"b,3")), (4, "c,4", at(b"c,4")), (5, "", at(b"\r\nd")), (6, "d,5", at(b"d,5"))]
+    for spec in ("csv,h=yes", "csv,h=yes,q=none"):
+        got = [(r["_row"], r["_line"], r["_byte"]) for r in read_text(spark, str(p), spec).orderBy("_row").collect()]
+        assert got == want, spec
+    ends = {b"a\r\nb": "\r\n", b"a\nb\r\n": "\n", b"a\rb": "\r", b"": "\n"}
+    for k, (data, eol) in enumerate(ends.items()):
+        q = tmp_path / f"e{k}"
+        q.write_bytes(data)
+        assert eol_of(spark, str(q)) == eol
+
+
 def test_search_and_transpose(spark):
     df = table(spark, MARK + "\tfoo\naaa\nbbb\nccc\nccc\nddd\neee\nfff")
     get = lambda v, c="0,0": rows(search(df, ["foo"], v, ["_row"], c).orderBy("_row"))
@@ -368,7 +397,8 @@ def test_calc_tabs_help(spark):
 def test_records_and_fields(spark, tmp_path):
     csv = parse("csv")
     assert tokenize('aaa,b""bb,ccc', csv) == ["aaa", "bbb", "ccc"] and tokenize('"b""b",x', csv) == ['b"b', "x"]
-    assert list(records('a,"x\ny",b\nc', csv)) == ['a,"x\ny",b', "c"]
+    assert list(records('a,"x\ny",b\nc', csv)) == [('a,"x\ny",b', 0), ("c", 10)]
+    assert list(records('é\r\n"x\r\ny"\r\n\rz', csv)) == [("é", 0), ('"x\ny"', 4), ("", 12), ("z", 13)]
     with pytest.raises(ValueError):
         list(records('a,"x', parse("csv,u=error")))
     assert tokenize('1.2.3.4 - [10/Oct] "GET /"', parse("clf")) == ["1.2.3.4", "-", "10/Oct", "GET /"]
