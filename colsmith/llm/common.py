@@ -21,11 +21,14 @@ SUB_BATCH_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, or a new local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Where that is unset, a local master (tests) gets a
+    temporary one; on a cluster it is an error, as executors have no local folder in common."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='colsmith-shared-')}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

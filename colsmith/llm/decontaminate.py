@@ -7,7 +7,10 @@ each fingerprint to every shared window around it. A benchmark item of fewer wor
 are looked up by the hash of their whole gram.
 
 Null or empty text has no words: never hit, and an item without words matches nothing. An empty benchmark leaves all documents
-clean. Repeated documents or items count each by itself, items of equal item_id as one. Rows are told apart by number, not doc_id.
+clean. Repeated documents or items count each by itself, items of equal item_id as one. An item with a null item_id hits words like
+others and counts as an item, all of those as one; having no name it stands in items, and in their digest, as the empty string. Very
+long texts are worked out whole, in arrays of their words. Rows are told apart by number, not doc_id; columns of the input besides
+doc_id and text are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -136,7 +139,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sure = at.join(F.broadcast(texts) if small else texts, ["len", "fp", "window"])
     spots = sure.groupBy("_row").agg(F.collect_set(F.struct("start", "len")).alias("spots"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
-    named = windows.select("len", "fp", "window", F.col("item_id").cast("string").alias("item")).distinct()
+    named = windows.select("len", "fp", "window", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item")).distinct()
     items = sure.select("_row", "len", "fp", "window").distinct().join(F.broadcast(named) if small else named, ["len", "fp", "window"])
     items = items.groupBy("_row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     facts = spots.select("_row", covered.cast("long").alias("n_hit")).join(items, "_row")
@@ -171,7 +174,7 @@ WITH d AS (
 ), hit AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY doc_id
 ), it AS (
-  SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM m GROUP BY doc_id
+  SELECT doc_id, list_sort(list(DISTINCT coalesce(CAST(item_id AS VARCHAR), ''))) AS items FROM m GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(hit.n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(len(it.items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(it.items, ','), '')) AS items_sha256,

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from colsmith.llm import decontaminate, exact_dedup, graph, lm_score, packing, pii, simhash, substring_dedup, token_counts, token_files, tokens, toxicity
+from colsmith.llm import common, decontaminate, exact_dedup, graph, lm_score, packing, pii, simhash, substring_dedup, token_counts, token_files, tokens, toxicity
 from colsmith.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, norm string, digest string, words string, row string, score double, held_out string, chunk string"
@@ -43,27 +43,55 @@ def words20(text):
 # ---- 6 ----
 
 
-def test_exact_dedup(spark):
+def brute_copies(rows):
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
-    got = exact_dedup.groups(docs(spark, ROWS)).collect()
     groups = defaultdict(list)
-    for i, t in ROWS:
+    for i, t in rows:
         groups[norm(t)].append(i)
     want = Counter()
-    for i, t in ROWS:
-        g = groups[norm(t)]
-        keep = min((x for x in g if x is not None), default=None)
-        want[(i, keep, len(g), i == keep, hashlib.sha256(norm(t).encode()).hexdigest())] += 1
+    for t, ids in groups.items():
+        ids.sort(key=lambda i: (i is None, i))
+        for k, i in enumerate(ids):
+            want[(i, ids[0], len(ids), k == 0, hashlib.sha256(t.encode()).hexdigest())] += 1
+    return want
+
+
+NO_IDS = [(None, "no id"), (None, "no  id"), (None, "no id"), (None, "another"), (None, "same text here")]
+
+
+@pytest.mark.parametrize(("share", "broadcast"), [(1 / 1000, 10**6), (1, 0)])  # every text of two rows is hot, or none is
+def test_exact_dedup(spark, monkeypatch, share, broadcast):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", broadcast)
+    rows = ROWS + NO_IDS
+    want = brute_copies(rows)
+    got = exact_dedup.groups(docs(spark, rows)).collect()
     assert Counter(map(tuple, got)) == want
-    left = exact_dedup.drop_copies(docs(spark, ROWS))
-    assert left.columns == docs(spark, []).columns and left.count() == len(groups)
+    left = exact_dedup.drop_copies(docs(spark, rows))
+    assert left.columns == docs(spark, []).columns
+    kept = Counter((i, h) for i, _, _, k, h in want.elements() if k)
+    digest = lambda t: hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest()
+    assert Counter((r["doc_id"], digest(r["text"])) for r in left.collect()) == kept
     assert exact_dedup.groups(docs(spark, [])).count() == 0
 
 
 def test_exact_dedup_tells_clashing_digests_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "digests", lambda d: d.select("doc_id", exact_dedup.normalised(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("digest", F.lit(b"x")))
-    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.groups(docs(spark, [(1, "a"), (2, "b"), (3, "a")])).collect()}
-    assert got == {(1, 1, 2), (3, 1, 2), (2, 2, 1)}
+    got = sorted(tuple(r)[:4] for r in exact_dedup.groups(docs(spark, [(1, "a"), (2, "b"), (3, "a"), (3, "a")])).collect())
+    assert got == [(1, 1, 3, True), (2, 2, 1, True), (3, 1, 3, False), (3, 1, 3, False)]
+
+
+def test_shared_folder(spark, monkeypatch):
+    class Cluster:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Cluster()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
 
 
 # ---- 1 ----
@@ -77,7 +105,7 @@ def brute_hits(rows, items):
         w = split(t)
         n = min(10, len(w))
         for k in range(len(w) - n + 1 if w else 0):
-            windows[tuple(w[k : k + n])].add(str(i))
+            windows[tuple(w[k : k + n])].add("" if i is None else str(i))
     out = Counter()
     for d, t in rows:
         w, hit, its = split(t), set(), set()
@@ -92,7 +120,7 @@ def brute_hits(rows, items):
 
 @pytest.mark.parametrize("short", [False, True])
 def test_decontamination(spark, short):
-    items = [(100 + i, t) for i, t in enumerate(sentences(1, 3) + sentences(7, 3))] + [(200, None), (201, "...")]
+    items = [(100 + i, t) for i, t in enumerate(sentences(1, 3) + sentences(7, 3))] + [(200, None), (201, "..."), (None, sentences(1, 5)[4]), (None, sentences(1, 6)[5])]
     if short:
         items += [(300, "same TEXT"), (301, "a b c"), (302, "kappa"), (303, "eta eta eta eta eta eta eta"), (303, "iota beta iota")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -103,7 +131,7 @@ def test_decontamination(spark, short):
     left = decontaminate.drop_contaminated(docs(spark, ROWS), bench)
     assert left.columns == docs(spark, []).columns
     two = docs(spark, [(None, items[0][1] + " and more words"), (None, "clean words only"), (5, "clean")])
-    assert {r["text"] for r in decontaminate.drop_contaminated(two, bench.where("item_id < 200")).collect()} == {"clean words only", "clean"}
+    assert {r["text"] for r in decontaminate.drop_contaminated(two, bench.where("item_id is null or item_id < 200")).collect()} == {"clean words only", "clean"}
 
 
 def test_decontamination_maps_may_be_full(spark, monkeypatch):
