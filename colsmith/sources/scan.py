@@ -1,7 +1,7 @@
 """Text files as tables: header forms, delimiters, quotes, escapes; rows know their file, number and place.
 
 Columns are text; a short row's missing ones are empty. Metadata: _file, _row (from 1 in each file, the header not counted), _byte
-(offset after the header), _line, _ncols. Parquet and other typed tables pass through Spark's own readers.
+(offset after a byte order mark and the header), _line, _ncols. Parquet and other typed tables pass through Spark's own readers.
 """
 
 from __future__ import annotations
@@ -261,12 +261,12 @@ def _numbered(spark: SparkSession, files: DataFrame, path: str, f: Format) -> Da
     def cut(batches):
         for pdf in batches:
             for text, file in zip(pdf["value"], pdf["file"]):
-                rows, skip = [], 0
+                rows, skip, text = [], 0, text.removeprefix("\ufeff")
                 for n, (record, at) in enumerate(records(text, f2)):
                     if n == is_header:
                         skip = at
                     if n >= is_header:
-                        rows.append((file, n + 1 - is_header, at - skip, record.removeprefix("\ufeff") if n == 0 else record))
+                        rows.append((file, n + 1 - is_header, at - skip, record))
                     if len(rows) == 10_000:
                         yield pd.DataFrame(rows, columns=["_file", "_row", "_byte", "_line"])
                         rows = []

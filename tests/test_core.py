@@ -309,6 +309,13 @@ def test_rank_of_any_size(spark):
         assert st.rank(df, keys, ["id"]).join(want, "id").agg(F.count("*"), F.count_if(F.col("rn") == F.col("want"))).first()[:] == (n, n), keys
 
 
+def test_bytes_of_text_that_is_not_ascii(spark):
+    texts = ["", "a", "é", "日本語 text", "ab\U0001f600cd", "ÄÖÜ" * 5]
+    cut_ = lambda b: b[0:5] + b[8:11]
+    for row in values(spark, texts).select("v", transform("bytes,1-5,9-11")(F.col("v")).alias("b")).collect():
+        assert row["b"] == cut_(row["v"].encode()).decode("utf-8", "replace")
+
+
 def test_line_ends_and_offsets(spark, tmp_path):
     body = b"one,two\r\na,1\r\n\xc3\xa9,22\nb,3\rc,4\r\n\r\nd,5"
     p = tmp_path / "mixed.csv"
