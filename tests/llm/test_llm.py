@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from colsmith import session
 from colsmith.llm import common, decontaminate, exact_dedup, graph, lm_score, packing, pii, simhash, substring_dedup, token_counts, token_files, tokens, toxicity
 from colsmith.llm.queries import tokenizer_path
 
@@ -91,7 +92,7 @@ def test_shared_folder(spark, monkeypatch):
         conf = {}
 
     with pytest.raises(RuntimeError):
-        common.shared_dir(Session())
+        session.shared_dir(Session())
 
 
 # ---- 1 ----
