@@ -2,16 +2,20 @@
 
 Patterns find e-mail and IP addresses, card and phone numbers in whole texts, in time linear in the text. The random field works on
 tokens described by word shape and neighbours; it is trained, in a second, from a small labelled table in this module, and decoded by
-Viterbi over numpy batches of token runs. Only tokens within REACH of a digit, an @ or a word such as "dot" can carry a label: that
-is part of the model, in training as in use, so the rest of a text needs no decoding. Spans of the field are added only where no
-pattern span is and their digits are plausible.
+Viterbi over numpy batches of token runs. It adds addresses and numbers in forms that the patterns don't take (spoken, spaced or
+masked ones) and a fifth kind, secret: credentials such as the value of a token or password. Only tokens within REACH of a digit, an @
+or a word such as "dot" can carry a label: that is part of the model, in training as in use, so the rest of a text needs no decoding,
+and the runs that are cut out, by tokens, have the labels that a decoding of the whole text would give. Spans of the field are added
+only where no pattern span is and what they hold is plausible.
 
 Null text counts as empty and has no spans. Offsets are code points, the end exclusive. Repeated rows give repeated results; other
-columns are ignored; an empty table gives an empty table. A long run of tokens is decoded as one, however long.
+columns are ignored, whatever they are called; an empty table gives an empty table. A very long text is read token by token, and a
+long run of tokens is decoded as one, however long, in time and memory linear in it.
 """
 
 from __future__ import annotations
 
+import collections
 import functools
 import hashlib
 import random
@@ -26,7 +30,13 @@ from pyspark.sql import functions as F
 from colsmith.llm.common import sub_batches, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the field: those of the patterns, in the order in which spans are written, then its own.
+FIELD_KINDS = (*KINDS, "secret")
 REACH = 6
+#: Tokens of a run on either side of a sign: REACH that may carry a label, and those that their features look at.
+EDGE = REACH + 5
+#: Tokens whose features are held at once, and padded tokens that are decoded at once.
+PIECE, PADDED = 4096, 200_000
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -80,11 +90,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ---- the random field ----
 
-_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
+# Sixteen or more letters and digits mixed are one token.
+_TOKEN = re.compile(r"(?=[A-Za-z]{1,15}[0-9]|[0-9]{1,15}[A-Za-z])[A-Za-z0-9]{16,}|[^\W\d_]+|[0-9]+|[^\s]")
+_MIXED = re.compile(r"(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}")
 _AT, _DOT = {"at", "arroba", "chez", "bei"}, {"dot", "punto", "punkt", "point"}
-_SIGN = re.compile(r"[0-9@]|\b(?:dot|punto|punkt|point|arroba)\b|[(\[] ?at ?[)\]]", re.I)
+_SPOKEN_SIGNS = {"dot", "punto", "punkt", "point", "arroba"}
+#: Texts without any of these have no sign.
+_SIGN = re.compile(r"[0-9@]|dot|punto|punkt|point|arroba|[(\[]\s*at(?![a-z])", re.I)
 _CUE = {"call", "phone", "tel", "telephone", "telefon", "mobile", "fax", "whatsapp", "ring", "text", "mail", "email", "write", "contact", "card", "visa", "mastercard", "credit", "ip", "host", "server", "address", "téléphone", "teléfono", "handy"}
-LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
+_KEEP = {"token", "secret", "password", "passwd", "pwd", "passwort", "contraseña", "apikey", "key", "bearer", "credential", "auth", "authorization"}
+LABELS = ["O"] + [f"{p}-{k}" for k in FIELD_KINDS for p in "BI"]
 
 #: The labelled table: [kind text]. Digits are redrawn in training, ten times a line.
 TABLE = """
@@ -128,7 +143,21 @@ the code 8841 opens door 12 of 40
 between 1914-1918 and 1939-1945 many left
 isbn 978-3-16-148410-0 is out of print
 about 100 000 people and 250 000 cars
-key=AKIA1234567890ABCD secret 99
+token = "[secret 9f8a7c6b5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a]" and then
+TOKEN = "[secret 9F8A7C6B5D4E3F2A1B0C9D8E7F6A5B4C3D2E1F0A]" AND THEN
+the token = "[secret 4d44c79e8bf7c55759c4958dd60ed83d]" of it
+secret: [secret a1b2c3d4e5f6a7b8c9d0] was found
+api_key = '[secret sk4f9Kd83jLm20xQ7Zt1Vb]' in the file
+key=[secret AKIA1234567890ABCD] secret 99
+password: "[secret hG7kd93Jf02mPq81]" please change
+Authorization: Bearer [secret eyJhbGciOiJIUzI1NiIs9] sent
+auth token [secret 0a1b2c3d4e5f60718293] expired
+commit 9f8a7c6b5d4e3f2a1b0c9d8e7f6a5b4c3d2e1f0a fixed it
+md5 d41d8cd98f00b204e9800998ecf8427e of the file
+sha256: e3b0c44298fc1c149afbf4c8996fb924 matches
+see build 4f9d83a20c7b1e5d6a8f for details
+id = "550e8400e29b41d4a716446655440000" in the table
+a token of thanks in 2019 and 12 keys
 id 000123456789 was not found at all
 at 3 pm or at 4 pm the 2 shops close
 a1b2c3d4 and x9y8z7 are hashes
@@ -148,6 +177,8 @@ def tokens_of(text: str) -> list[tuple[str, int, int]]:
 @functools.lru_cache(1 << 16)
 def shape(token: str) -> str:
     """Digits by number, letters by case, marks as they are."""
+    if len(token) >= 16 and _MIXED.fullmatch(token):
+        return "hash"
     if token.isascii() and token.isdigit():
         n = len(token)
         return f"d{n}" if n <= 4 else "d5-6" if n <= 6 else "d7-8" if n <= 8 else "d9-12" if n <= 12 else "d13+"
@@ -159,6 +190,8 @@ def shape(token: str) -> str:
             return "w:dot"
         if low in _CUE:
             return "w:cue"
+        if low in _KEEP:
+            return "w:keep"
         return "x" if token.islower() else "X" if token.isupper() else "Xx"
     return token
 
@@ -166,20 +199,24 @@ def shape(token: str) -> str:
 def features(tokens: list[tuple[str, int, int]]) -> list[list[str]]:
     s = ["<<", "<"] + [shape(t) for t, _, _ in tokens] + [">", ">>"]
     glue = [0] + [int(b[1] == a[2]) for a, b in zip(tokens, tokens[1:])] + [0]  # without white space between
-    cue = [any(x == "w:cue" for x in s[max(0, k - 2) : k + 2]) for k in range(len(tokens))]
     out = []
     for k in range(len(tokens)):
         a, b, c, d, e = s[k : k + 5]
-        out.append([f"0{c}", f"-1{b}", f"+1{d}", f"-2{a}", f"+2{e}", f"-1{b}|{c}", f"+1{c}|{d}", f"-2{a}|{b}|{c}", f"+2{c}|{d}|{e}", f"1{b}|{c}|{d}", f"g{glue[k]}{glue[k + 1]}{c}", f"q{int(cue[k])}{c}", "b"])
+        near = s[max(0, k - 2) : k + 2]  # the four tokens before, at most
+        cue, keep = int("w:cue" in near), int("w:keep" in near)
+        out.append([f"0{c}", f"-1{b}", f"+1{d}", f"-2{a}", f"+2{e}", f"-1{b}|{c}", f"+1{c}|{d}", f"-2{a}|{b}|{c}", f"+2{c}|{d}|{e}", f"1{b}|{c}|{d}", f"g{glue[k]}{glue[k + 1]}{c}", f"q{cue}{c}", f"k{keep}{c}", "b"])
     return out
 
 
-def may_be(text: str, tokens: list[tuple[str, int, int]]) -> np.ndarray:
+def _is_sign(token: str, before: str) -> bool:
+    """Digits, an @, a spoken dot or at; an "at" counts after an opening bracket."""
+    return token.isascii() and (token[0].isdigit() or token == "@" or len(token) >= 16 and token[-1].isdigit() or bool(_MIXED.fullmatch(token)) or token.lower() in _SPOKEN_SIGNS or (token.lower() == "at" and before in ("(", "[")))
+
+
+def may_be(tokens: list[tuple[str, int, int]]) -> np.ndarray:
     """Tokens within REACH of a sign."""
-    sign = np.array([bool(_SIGN.fullmatch(t)) or t.isascii() and t.isdigit() for t, _, _ in tokens], bool)
-    for k in range(1, len(tokens) - 1):
-        if tokens[k][0].lower() == "at" and tokens[k - 1][0] in "([" and tokens[k + 1][0] in ")]":
-            sign[k] = True
+    words = [t for t, _, _ in tokens]
+    sign = np.fromiter((_is_sign(t, b) for t, b in zip(words, ["", *words])), bool, len(words))
     near = sign.copy()
     for k in range(1, REACH + 1):
         near[k:] |= sign[:-k]
@@ -189,7 +226,7 @@ def may_be(text: str, tokens: list[tuple[str, int, int]]) -> np.ndarray:
 
 def _parse(line: str, rnd: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     text, spans, at = "", [], 0
-    for m in re.finditer(r"\[(email|ip|card|phone) ((?:[^\[\]]|\[[^\]]*\])*)\]", line):
+    for m in re.finditer(r"\[(email|ip|card|phone|secret) ((?:[^\[\]]|\[[^\]]*\])*)\]", line):
         text += line[at : m.start()]
         spans.append((m[1], len(text), len(text) + len(m[2])))
         text += m[2]
@@ -208,6 +245,17 @@ class Field:
         look = self.vocabulary.get
         e = np.array([self.state[[i for f in fs if (i := look(f)) is not None]].sum(axis=0) for fs in feats]).reshape(len(feats), len(LABELS))
         e[~near, 1:] = -1e9
+        return e
+
+    def of(self, tokens: list[tuple[str, int, int]]) -> np.ndarray:
+        """Emissions of a run, from the features of a piece at a time."""
+        near = may_be(tokens)
+        parts = []
+        for a in range(0, len(tokens), PIECE):
+            left = min(a, 5)
+            feats = features(tokens[a - left : a + PIECE + 5])[left : left + PIECE]
+            parts.append(self.emissions(feats, near[a : a + PIECE]))
+        e = np.concatenate(parts)
         e[:1, [x.startswith("I-") for x in LABELS]] = -1e9  # a run begins with no label or a B-
         return e
 
@@ -256,7 +304,7 @@ def train(table: str = TABLE, copies: int = 10, rounds: int = 60, ridge: float =
                 inside = [k for k, (_, x, y) in enumerate(toks) if a <= x and y <= b]
                 for k in inside:
                     tags[k] = LABELS.index(("B-" if k == inside[0] else "I-") + kind)
-            sets.append((features(toks), tags, may_be(text, toks)))
+            sets.append((features(toks), tags, may_be(toks)))
     vocabulary = {f: k for k, f in enumerate(sorted({f for feats, _, _ in sets for fs in feats for f in fs}))}
     m = len(LABELS)
     n = np.array([len(t) for _, t, _ in sets])
@@ -312,31 +360,54 @@ def field() -> Field:
     return train()
 
 
-def _runs(text: str) -> Iterator[tuple[int, list[tuple[str, int, int]]]]:
-    """Token runs around the signs of a text: every token within REACH of one, and as many again for its features."""
-    signs = [m.span() for m in _SIGN.finditer(text)]
-    if not signs:
+def _runs(text: str) -> Iterator[list[tuple[str, int, int]]]:
+    """Runs of tokens that hold every token within EDGE of a sign; no two share one."""
+    if not _SIGN.search(text):
         return
-    # A token run is cut out at white space, far enough that 2 * REACH tokens fit unless tokens are very long.
-    k = 0
-    while k < len(signs):
-        a, b = signs[k]
-        k += 1
-        while k < len(signs) and signs[k][0] - b <= 160:
-            b = signs[k][1]
-            k += 1
-        left, right = max(0, a - 80), min(len(text), b + 80)
-        while left > 0 and not text[left - 1].isspace():
-            left -= 1
-        while right < len(text) and not text[right].isspace():
-            right += 1
-        yield left, tokens_of(text[left:right])
+    before: collections.deque = collections.deque(maxlen=EDGE)
+    run: list[tuple[str, int, int]] = []
+    quiet, last = 0, ""
+    for m in _TOKEN.finditer(text):
+        token = (m[0], m.start(), m.end())
+        sign = _is_sign(token[0], last)
+        last = token[0]
+        if run:
+            run.append(token)
+            quiet = 0 if sign else quiet + 1
+            if quiet == 2 * EDGE:  # the next run, EDGE tokens before its sign, can't reach into this one
+                yield run[:-EDGE]
+                before.extend(run[-EDGE:])
+                run = []
+        elif sign:
+            run = [*before, token]
+            quiet = 0
+        else:
+            before.append(token)
+    if run:
+        yield run
+
+
+def _decoded(runs: list[list[tuple[str, int, int]]], model: Field) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, labels) of each run; runs of like length together."""
+    order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
+    at = 0
+    while at < len(order):
+        upto = at + 1
+        while upto < len(order) and (upto + 1 - at) * len(runs[order[upto]]) <= PADDED:
+            upto += 1
+        batch = order[at:upto]
+        yield from zip(batch, viterbi([model.of(runs[i]) for i in batch], model.step))
+        at = upto
 
 
 #: A spoken or spaced address: the sign, a name, a dot, the name of a domain.
 _SPOKEN = re.compile(r"\w\W{0,2}(?:@|\b(?:at|arroba|chez|bei)\b)\W{0,2}[\w-]+(?: ?\. ?|\W{0,2}\b(?:dot|punto|punkt|point)\b\W{0,2})[\w-]{2,}", re.I)
 
 
+#: By label: whether a span begins there. The label after a B- is the I- of its kind.
+_BEGINS = np.array([x.startswith("B-") for x in LABELS])
+
+
 def _plausible(kind: str, piece: str) -> bool:
     digits = "".join(c for c in piece if c in "0123456789")
     if kind == "phone":
@@ -346,46 +417,41 @@ def _plausible(kind: str, piece: str) -> bool:
     if kind == "ip":
         parts = re.findall(r"[0-9]+", piece)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == "secret":
+        return len(piece) >= 12 and not re.search(r"\s", piece) and bool(re.search("[0-9]", piece)) and bool(re.search("[A-Za-z]", piece))
     return len(tokens_of(piece)) <= 16 and bool(_SPOKEN.search(piece))
 
 
 def found_spans(texts: list[str], base: list[list[tuple[str, int, int]]], model: Field) -> list[list[tuple[str, int, int]]]:
     """Spans that the field adds, text by text."""
-    work, where = [], []
+    runs, where = [], []
     for k, text in enumerate(texts):
-        for left, toks in _runs(text):
-            work.append((model.emissions(features(toks), may_be(text, toks)), toks))
-            where.append((k, left))
+        for run in _runs(text):
+            runs.append(run)
+            where.append(k)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(work)), key=lambda i: len(work[i][1]))
-    at = 0
-    while at < len(order):
-        longest = len(work[order[min(at + 511, len(order) - 1)]][1])
-        batch = order[at : at + (512 if longest <= 200 else 8)]
-        at += len(batch)
-        for i, tags in zip(batch, viterbi([work[i][0] for i in batch], model.step)):
-            k, left = where[i]
-            toks, t = work[i][1], 0
-            while t < len(tags):
-                if not LABELS[tags[t]].startswith("B-"):
-                    t += 1
-                    continue
-                kind, end = LABELS[tags[t]][2:], t + 1
-                while end < len(tags) and LABELS[tags[end]] == f"I-{kind}":
-                    end += 1
-                a, b = left + toks[t][1], left + toks[end - 1][2]
-                if _plausible(kind, texts[k][a:b]) and not any(a < y and x < b for _, x, y in base[k]):
-                    out[k].append((kind, a, b))
-                t = end
+    for i, tags in _decoded(runs, model):
+        k, toks = where[i], runs[i]
+        for t in np.flatnonzero(_BEGINS[tags]).tolist():
+            kind, end = LABELS[tags[t]][2:], t + 1
+            while end < len(tags) and tags[end] == tags[t] + 1:
+                end += 1
+            a, b = toks[t][1], toks[end - 1][2]
+            if _plausible(kind, texts[k][a:b]) and not any(a < y and x < b for _, x, y in base[k]):
+                out[k].append((kind, a, b))
     return out
 
 
 def _written(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (FIELD_KINDS.index(s[0]), s[1], s[2])))
+
+
+_COLUMNS = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_secret"]
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, the numbers of pattern spans by kind, base_sha256 of them, and all spans, those of the field (n_added) included."""
+    """doc_id, the numbers of pattern spans by kind, base_sha256 of them, and all spans, those of the field included: n_added in
+    number, n_secret of them secrets, which come after the other kinds."""
 
     model = field()  # trained here once, sent with the tasks
 
@@ -399,10 +465,10 @@ def find(docs: DataFrame) -> DataFrame:
                 counts = [pa.array([sum(s[0] == kind for s in x) for x in base], pa.int64()) for kind in KINDS]
                 digest = pa.array([hashlib.sha256(_written(x).encode()).hexdigest() for x in base])
                 spans = pa.array([_written(x + y) for x, y in zip(base, more)], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, spans, pa.array([len(y) for y in more], pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, digest, spans, pa.array([len(y) for y in more], pa.int64()), pa.array([sum(z[0] == "secret" for z in y) for y in more], pa.int64())], _COLUMNS)
 
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.length(text_or_empty()).alias("chars"))
-    return texts.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return texts.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long")
 
 
 def redact(text: str, mask: str = "[{kind}]") -> str:

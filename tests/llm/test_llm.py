@@ -470,6 +470,63 @@ def test_pii_field(spark):
     assert pii.redact(rows[3][1]) == "mail [EMAIL] or [PHONE]" and pii.find(docs(spark, [])).count() == 0
 
 
+def whole_decode(text, model):
+    """Spans by decoding all tokens of a text as one sequence."""
+    toks = pii.tokens_of(text)
+    if not toks:
+        return []
+    e = model.emissions(pii.features(toks), pii.may_be(toks))
+    e[:1, [x.startswith("I-") for x in pii.LABELS]] = -1e9
+    tags, out, k = pii.viterbi([e], model.step)[0], [], 0
+    while k < len(tags):
+        end = k + 1
+        if pii.LABELS[tags[k]].startswith("B-"):
+            while end < len(tags) and pii.LABELS[tags[end]] == "I-" + pii.LABELS[tags[k]][2:]:
+                end += 1
+            kind, a, b = pii.LABELS[tags[k]][2:], toks[k][1], toks[end - 1][2]
+            if pii._plausible(kind, text[a:b]) and not any(a < y and x < b for _, x, y in pii.base_spans(text)):
+                out.append((kind, a, b))
+        k = end
+    return out
+
+
+def test_pii_runs_have_the_labels_of_the_whole_text(monkeypatch):
+    monkeypatch.setattr(pii, "PIECE", 7)
+    rnd = random.Random(8)
+    pieces = ["(743) 555-3824", "212.555.0187", "carl dot gauss at uni dot de", "j.smith (at) example.com", "12", "dot", "at", "(", "yy", "x", ",", "token = \"9f8a7c6b5d4e3f2a1b0c9d8e\"", "call", "tel:", "AKIA1234567890ABCD", "host 10[.]20[.]30[.]40", "été", "1998", "-", "word"]
+    model, found = pii.field(), 0
+    for k in range(600):
+        glue = rnd.choice(["", " ", " ", ", "])
+        text = glue.join(rnd.choice(pieces) if rnd.random() < rnd.choice((0.1, 0.6)) else "yy," * rnd.randint(0, 12) for _ in range(rnd.randint(0, 30)))
+        got = sorted(pii.found_spans([text], [pii.base_spans(text)], model)[0])
+        assert got == sorted(whole_decode(text, model)) and len(set(got)) == len(got), text
+        found += len(got)
+    assert found > 200
+    twice = "tel:,(743)555-3824," + "yy," * 70 + "tel:,(743)555-3825,"
+    spans = pii.found_spans([twice], [pii.base_spans(twice)], model)[0]
+    assert len({x[1] for x in spans}) == len(spans)
+
+
+def test_pii_takes_time_linear_in_text_without_spaces():
+    import time
+
+    took = []
+    for n in (1, 4):
+        text = ("tel:,(743)555-3824," + "yy," * 70) * 100 * n
+        began = time.perf_counter()
+        pii.found_spans([text], [[]], pii.field())
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1
+    pii.found_spans(["1 " * 60_000, "a1" * 50_000, "x" * 100_000 + "1", "(" * 50_000 + "at", "a-" * 50_000 + "1"], [[]] * 5, pii.field())
+
+
+def test_pii_secrets(spark):
+    sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {r["doc_id"]: len(set(re.findall(r'(?i)token = "([0-9a-f]{40})"', r["text"]))) for r in sf.collect() if re.search(r'(?i)token = "[0-9a-f]{40}"', r["text"] or "")}
+    got = {r["doc_id"]: r["n_secret"] for r in pii.find(sf).collect()}
+    assert planted and all(got[d] >= n for d, n in planted.items()) and not any(n for d, n in got.items() if d not in planted)
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
