@@ -1,16 +1,20 @@
-"""Substring deduplication over a compacted de Bruijn graph.
-
-Every window of WINDOW consecutive words is an edge. Windows that follow one another and have the same least gram of MINIMIZER
-words form one path: it crosses the network as one row under that gram, with its source coordinates and a 48-bit hash of each
-window. Equal windows have equal minimizers, so they meet there, and 64 + 48 bits tell them apart (a false match among windows
-of one minimizer has a chance of 2^-48). Paths meet in order of their coordinates, and each window that another started earlier
-becomes part of a repeated path, cut where first-seen windows branch off. Before the shuffle each worker does the same within
-blocks of its own text, so a passage that many documents share sends at most one path a block.
-
-Null, empty and short texts have no window: nothing is removed. A null doc_id sorts before all others, and each row without an id is
-a document of its own, numbered in a stored table. Rows that repeat a doc_id are told apart by a hash of their texts; only those
-that repeat the text too count as one document: a window is never earlier than itself, and what is removed is removed in each such
-row. An empty table gives an empty table.
+"""Substring deduplication over a compacted de Bruijn graph of repeated windows.
+
+Every window of WINDOW consecutive words is an edge between two nodes, its first and its last WINDOW - 1 words. To find the edges that
+repeat, windows that follow one another and have the same least gram of MINIMIZER words cross the network as one row under that gram,
+with their coordinates and a 48-bit hash each; under a gram that is hot in a sample of the documents, window by window under their own
+hashes. A repeated edge goes by the coordinates of its first occurrence, and every later occurrence becomes part of a fragment: a walk
+along edges that stand side by side at the source too. Fragments that meet at a node are joined on its coordinates; where one goes on
+with an edge of another name the node branches, and through all other nodes Spark joins compact them into long spans. Each span's words
+are then verified at the source's coordinates by SHA-256 before they count. Windows whose hashes met without their words being equal are
+compared by their words, so hashes never decide. Before the shuffle each worker does the same within blocks of its own text, comparing
+words, so a passage that many documents share sends at most one row a block.
+
+Null, empty and short texts have no window: nothing is removed. A very long text is worked out whole, in memory of its own words. A
+null doc_id sorts before all others, and each row without an id is a document of its own, numbered in a stored table. Rows that repeat
+a doc_id are told apart by a hash of their texts; only those that repeat the text too count as one document: a window is never earlier
+than itself, and what is removed is removed in each such row. An empty table gives an empty table; columns besides doc_id and text are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -24,16 +28,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsmith.llm.common import materialize, sub_batches, text_or_empty
+from colsmith.llm.graph import components
 from colsmith.llm.words import WordHashes, longer
 
 WINDOW, MINIMIZER = 20, 8
 #: Characters of text in which a worker looks for repeats before anything is sent.
 BLOCK_CHARS = 8_000_000
-#: Bytes of a window's hash that travel with its path, and paths that are compared at once.
+#: Bytes of a window's hash that travel with it, and rows that are compared at once.
 HASH_BYTES, ROWS = 6, 50_000
+#: Documents of the sample that tells hot grams, at most and as one in so many; a gram is hot in one of HOT_ONE_IN of them, of twenty at
+#: least. It decides only where windows meet, never what is found.
+HOT_SAMPLE, HOT_EVERY, HOT_ONE_IN = 200_000, 20, 2000
 _ROW = ["at", "doc", "row", "start", "n", "hashes"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-_PATH = ["doc", "row", "start", "n"]
+_FRAGMENT = ["doc", "row", "start", "n", "s_doc", "s_row", "s_start"]
+_FRAGMENT_SCHEMA = "doc long, row long, start int, n int, s_doc long, s_row long, s_start int"
+#: What a row that is known to repeat holds in place of hashes: the coordinates of its source. Its n is negative.
+_SOURCE = np.dtype([("doc", "<i8"), ("row", "<i8"), ("start", "<i4")])
 #: Stands for a null doc_id.
 _NONE = -(1 << 63)
 
@@ -68,23 +79,31 @@ def _ranks(doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return rank, d[new], r[new]
 
 
-def _later(doc: np.ndarray, start: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Whether a window with the same group started earlier in (doc, start)."""
+def _later(doc: np.ndarray, start: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a window with the same group started earlier in (doc, start), the position of the group's first)."""
     order = np.lexsort((start, doc, groups))
     g = groups[order]
     first = np.concatenate([[True], g[1:] != g[:-1]])
-    head = order[np.flatnonzero(first)][np.cumsum(first) - 1]
-    later = np.empty(len(g), bool)
-    later[order] = (doc[order] != doc[head]) | (start[order] != start[head])
-    return later
+    head = np.empty(len(g), np.int64)
+    head[order] = order[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return (doc != doc[head]) | (start != start[head]), head
 
 
-def block_paths(docs: list[int], rows: list[int], texts: list[str], hashes: WordHashes) -> pa.RecordBatch:
-    """Paths of a block of documents: rows to compare under their minimizer, and rows without hashes, already known as repeated."""
+def _steps(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether each window follows the one before it."""
+    return np.concatenate([[False], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + 1)])
+
+
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split()
+
+
+def block_paths(docs: list[int], rows: list[int], texts: list[str], hashes: WordHashes, hot: np.ndarray, hash_bits: int = 64) -> pa.RecordBatch:
+    """A block's windows: rows to compare under their gram, and rows whose words were found earlier in the block."""
     doc_of, start_of, window, least = [], [], [], []
     rank, doc_at, row_at = _ranks(np.array(docs, np.int64), np.array(rows, np.int64))
     for doc, text in zip(rank.tolist(), texts):
-        words = text.encode("utf-8", "surrogatepass").split()
+        words = _words(text)
         if len(words) < WINDOW:
             continue
         g, m = window_hashes(hashes.of(words))
@@ -95,67 +114,123 @@ def block_paths(docs: list[int], rows: list[int], texts: list[str], hashes: Word
     if not doc_of:
         return pa.RecordBatch.from_arrays([pa.array([], t) for t in _TYPES], _ROW)
     doc, start, g, m = map(np.concatenate, (doc_of, start_of, window, least))
-    later = _later(doc, start, g)
-    follows = np.concatenate([[False], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + 1)])
-    same = np.concatenate([[False], (later[1:] == later[:-1]) & (later[1:] | (m[1:] == m[:-1]))])
-    begin, n = _runs(~(follows & same))
+    if hash_bits < 64:
+        g &= np.uint64((1 << hash_bits) - 1)
+    later, head = _later(doc, start, g)
+    follows = _steps(doc, start)
+    s_doc, s_start = doc[head], start[head]
+    aligned = follows & _steps(s_doc, s_start) & later & np.concatenate([[False], later[:-1]])
+    # What the hashes say repeats is compared word by word; where words differ it is sent like any other.
+    text_at = dict(zip(rank.tolist(), texts))
+    split: dict[int, list[bytes]] = {}
+
+    def span(d: int, a: int, n: int) -> list[bytes]:
+        if d not in split:
+            split[d] = _words(text_at[d])
+        return split[d][a : a + n + WINDOW - 1]
+
+    at_later = np.flatnonzero(later)
+    begin, n = _runs(~aligned[at_later]) if len(at_later) else (np.zeros(0, np.int64),) * 2
+    for i, size in zip(at_later[begin].tolist(), n.tolist()):
+        if span(int(doc[i]), int(start[i]), size) != span(int(s_doc[i]), int(s_start[i]), size):
+            later[i : i + size] = False
+    aligned &= later
+    key = m.view(np.int64)
+    if len(hot):
+        key = np.where(hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key, g.view(np.int64), key)
+    together = aligned | (follows & ~later & ~np.concatenate([[False], later[:-1]]) & np.concatenate([[False], key[1:] == key[:-1]]))
+    begin, n = _runs(~together)
     known = later[begin]
     own_doc, own_row = doc_at[doc[begin]], row_at[doc[begin]]
-    at = np.where(known, (own_doc ^ own_row) * 1_000_003 + start[begin], m[begin].view(np.int64))  # any place will do for known rows
-    size = np.where(known, 0, n)
-    ends = np.concatenate([[0], np.cumsum(size * HASH_BYTES)]).astype(np.int32)
-    tail = g[np.repeat(~known, n)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+    at = np.where(known, (own_doc ^ own_row) * 1_000_003 + start[begin], key[begin])  # any place will do for known rows
+    size = np.where(known, _SOURCE.itemsize, n * HASH_BYTES)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    tail = np.empty(ends[-1], np.uint8)
+    is_source = np.repeat(known, size)
+    tail[~is_source] = g[np.repeat(~known, n)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].ravel()
+    source = np.empty(known.sum(), _SOURCE)
+    source["doc"], source["row"], source["start"] = doc_at[s_doc[begin[known]]], row_at[s_doc[begin[known]]], s_start[begin[known]]
+    tail[is_source] = source.view(np.uint8)
     blob = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(tail)])
-    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(own_doc), pa.array(own_row), pa.array(start[begin]), pa.array(n.astype(np.int32)), blob], _ROW)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(own_doc), pa.array(own_row), pa.array(start[begin]), pa.array(np.where(known, -n, n).astype(np.int32)), blob], _ROW)
 
 
-def _merge(doc: np.ndarray, start: np.ndarray, doc_at: np.ndarray, row_at: np.ndarray) -> pa.RecordBatch:
-    """Windows in order of rows to paths (doc, row, start, n); doc is a rank."""
-    begin, n = _runs(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])) if len(doc) else (np.zeros(0, np.int64),) * 2
-    return pa.RecordBatch.from_arrays([pa.array(doc_at[doc[begin]]), pa.array(row_at[doc[begin]]), pa.array(start[begin].astype(np.int32)), pa.array(n.astype(np.int32))], _PATH)
+def _fragments(doc: np.ndarray, row: np.ndarray, start: np.ndarray, s_doc: np.ndarray, s_row: np.ndarray, s_start: np.ndarray) -> pa.RecordBatch:
+    """Windows in order of their rows, with their sources, as fragments."""
+    if len(doc):
+        on = _steps(doc, start) & _steps(s_doc, s_start)
+        on[1:] &= (row[1:] == row[:-1]) & (s_row[1:] == s_row[:-1])
+        begin, n = _runs(~on)
+    else:
+        begin, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[begin], row[begin], start[begin].astype(np.int32), n.astype(np.int32), s_doc[begin], s_row[begin], s_start[begin].astype(np.int32))], _FRAGMENT)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (at, doc, row, start): the repeated paths. Of the last key only the windows seen stay in memory."""
-    last, seen = None, np.zeros(0, np.uint64)
+    """Rows sorted by (at, doc, row, start): the fragments. Of the last key only the first of each window seen stays in memory."""
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    last, seen = None, none
     for batch in batches:
         for a in range(0, batch.num_rows, ROWS):
             part = batch.slice(a, ROWS)
             at, doc, row, start, n = (np.array(part.column(k)) for k in range(5))
             raw = part.column(5)
-            ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
-            known = np.diff(ends) == 0
+            ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+            data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+            known = n < 0
             if known.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (doc, row, start, n)], _PATH)
-            at, doc, row, start, n = (x[~known] for x in (at, doc, row, start, n))
-            if not len(at):
+                source = data[ends[:-1][known][:, None] + np.arange(_SOURCE.itemsize)].ravel().view(_SOURCE)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[known], row[known], start[known], -n[known], source["doc"].copy(), source["row"].copy(), source["start"].copy())], _FRAGMENT)
+            if known.all():
                 continue
-            data = raw.buffers()[2]
-            raw_hashes = np.frombuffer(data, np.uint8, int(ends[-1]) - int(ends[0]), int(ends[0])).reshape(-1, HASH_BYTES)
-            h = np.zeros((len(raw_hashes), 8), np.uint8)
-            h[:, :HASH_BYTES] = raw_hashes
+            here = np.repeat(~known, np.diff(ends))
+            at, doc, row, start, n = (x[~known] for x in (at, doc, row, start, n))
+            h = np.zeros((here.sum() // HASH_BYTES, 8), np.uint8)
+            h[:, :HASH_BYTES] = data[ends[0] : ends[-1]][here].reshape(-1, HASH_BYTES)
             h = h.view("<u8").ravel()
             key = np.cumsum(np.concatenate([[at[0] != last if last is not None else True], at[1:] != at[:-1]])).astype(np.uint64)
             rank, doc_at, row_at = _ranks(doc, row)
             d, k = np.repeat(rank, n), np.repeat(key, n)
-            s = np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            # Windows of the key that went on from before stand first, under no document.
-            carried = seen if len(seen) and at[0] == last else np.zeros(0, np.uint64)
-            if len(carried):
-                key0 = int(key[0])
-                d = np.concatenate([np.full(len(carried), -1), d])
-                s = np.concatenate([np.full(len(carried), -1), s])
-                k = np.concatenate([np.full(len(carried), key0, np.uint64), k])
-                h = np.concatenate([carried, h])
-            later = _later(d, s, (k << np.uint64(48)) | h)  # at most ROWS + 1 keys: 16 bits
-            own = h[k == k[-1]]
-            last, seen = at[-1], np.unique(own)
-            later[: len(carried)] = False
-            yield _merge(d[later], s[later], doc_at, row_at)
-
-
-def repeated_paths(rows: DataFrame) -> DataFrame:
-    """doc, row, start, n of _keyed() rows: runs of n windows, the first at word `start`, that all started earlier elsewhere."""
+            s = np.repeat(start, n).astype(np.int64) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+            # Windows of the key that went on from before stand first, under no document; each is the first of its group.
+            carried = seen if last is not None and at[0] == last else none
+            c = len(carried[0])
+            w_doc, w_row, w_start = np.concatenate([carried[1], doc_at[d]]), np.concatenate([carried[2], row_at[d]]), np.concatenate([carried[3], s])
+            d, s = np.concatenate([np.full(c, -1), d]), np.concatenate([np.arange(c), s])
+            k, h = np.concatenate([np.full(c, key[0], np.uint64), k]), np.concatenate([carried[0], h])
+            later, head = _later(d, s, (k << np.uint64(48)) | h)  # at most ROWS + 1 keys: 16 bits
+            stay = (k == k[-1]) & ~later & (head == np.arange(len(head)))
+            last, seen = at[-1], (h[stay], w_doc[stay], w_row[stay], w_start[stay])
+            # A row that repeats meets its own windows again.
+            later &= (w_doc != w_doc[head]) | (w_row != w_row[head]) | (w_start != w_start[head])
+            to = head[later]
+            yield _fragments(w_doc[later], w_row[later], w_start[later], w_doc[to], w_row[to], w_start[to])
+
+
+def hot_grams(rows: DataFrame, n: int) -> np.ndarray:
+    """Least grams that many documents of a sample have, sorted: no more than a document has of them times HOT_ONE_IN."""
+    every = max(HOT_EVERY, n // HOT_SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for text in batch.column(0).to_pylist():
+                words = _words(text)
+                if len(words) >= WINDOW:
+                    found.append(np.unique(window_hashes(hashes.of(words))[1]))
+            grams, count = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(count)], ["gram", "n"])
+
+    drawn = rows.where(F.pmod(F.xxhash64("doc", "row", F.lit(1)), F.lit(every)) == 0).select("text")
+    most = drawn.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, n // every // HOT_ONE_IN))
+    return np.sort(np.array([r["gram"] for r in most.collect()], np.int64))
+
+
+def fragments(rows: DataFrame, n: int, hash_bits: int = 64) -> DataFrame:
+    """doc, row, start, n and the source's coordinates of _keyed() rows (n of them): runs of windows that, by their hashes, all occurred
+    first in the same order at the source."""
+    hot = hot_grams(rows, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -171,66 +246,133 @@ def repeated_paths(rows: DataFrame) -> DataFrame:
                 texts += part.column(2).to_pylist()
                 held += sum(part.column(3).to_pylist())
                 if held >= BLOCK_CHARS:
-                    yield block_paths(ids, numbers, texts, hashes)
+                    yield block_paths(ids, numbers, texts, hashes, hot, hash_bits)
                     ids, numbers, texts, held = [], [], [], 0
         if texts:
-            yield block_paths(ids, numbers, texts, hashes)
+            yield block_paths(ids, numbers, texts, hashes, hot, hash_bits)
 
     paths = rows.withColumn("chars", F.length("text")).mapInArrow(run, "at long, doc long, row long, start int, n int, hashes binary")
-    return paths.repartition("at").sortWithinPartitions("at", "doc", "row", "start").mapInArrow(_compare, "doc long, row long, start int, n int")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc, row, text: row tells apart the rows of one doc. It is 0 where ids don't repeat; rows without an id are stored with a number."""
+    return paths.repartition("at").sortWithinPartitions("at", "doc", "row", "start").mapInArrow(_compare, _FRAGMENT_SCHEMA)
+
+
+def compacted(found: DataFrame) -> DataFrame:
+    """Fragments joined through nodes that don't branch into long spans, of the same columns.
+
+    An arc leads from a fragment to the one that goes on where it ends. If the source goes on there too the node has one edge in and one
+    out; if not, the node is another source's as well, and both names of it branch.
+    """
+    parts = materialize(found.withColumn("id", F.monotonically_increasing_id()), "fragments")
+    node = ["s_doc", "s_row", "s_start"]
+    ends = parts.select("doc", "row", (F.col("start") + F.col("n")).alias("start"), F.col("id").alias("a"), F.col("s_doc").alias("e_doc"), F.col("s_row").alias("e_row"), (F.col("s_start") + F.col("n")).alias("e_start"))
+    arcs = ends.join(parts, ["doc", "row", "start"]).select("a", F.col("id").alias("b"), *node, "e_doc", "e_row", "e_start")
+    arcs = materialize(arcs, "arcs")
+    straight = (F.col("s_doc") == F.col("e_doc")) & (F.col("s_row") == F.col("e_row")) & (F.col("s_start") == F.col("e_start"))
+    bent = arcs.where(~straight)
+    branching = bent.select(*node).unionByName(bent.select(F.col("e_doc").alias("s_doc"), F.col("e_row").alias("s_row"), F.col("e_start").alias("s_start"))).distinct()
+    roots = components(arcs.where(straight).join(branching, node, "left_anti").select("a", "b")).withColumnRenamed("a", "id")
+    whole = parts.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("path"))
+    n = F.max(F.col("start") + F.col("n")) - F.min("start")  # not the sum: rows that repeat bring their fragments twice
+    return whole.agg(*[F.min(c).alias(c) for c in _FRAGMENT if c != "n"], n.alias("n")).select(*_FRAGMENT)
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc, row, text of every row, their number): row tells apart the rows of one doc. It is 0 where ids don't repeat; rows without an id are stored with a number."""
     ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.count("*").alias("n"))
-    seen = ids.agg(F.count(F.when(F.col("doc").isNull(), 1)).alias("none"), F.count(F.when(F.col("doc").isNotNull() & (F.col("n") > 1), 1)).alias("repeated")).first()
+    seen = ids.agg(F.sum("n").alias("rows"), F.count(F.when(F.col("doc").isNull(), 1)).alias("none"), F.count(F.when(F.col("doc").isNotNull() & (F.col("n") > 1), 1)).alias("repeated")).first()
     doc = F.col("doc_id").cast("long")
     row = F.xxhash64(text_or_empty()) if seen["repeated"] else F.lit(0).cast("long")
     named = docs.select(doc.alias("doc"), row.alias("row"), text_or_empty().alias("text")).where("doc is not null")
     if not seen["none"]:
-        return named
+        return named, seen["rows"] or 0
     bare = docs.where(doc.isNull()).select(F.lit(_NONE).cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
-    return named.unionByName(materialize(bare, "without-id"))
+    return named.unionByName(materialize(bare, "without-id")), seen["rows"]
 
 
-def kept_words(text: str, paths: list[dict] | None) -> tuple[list[bytes], int]:
-    """(words that stay, number of words) of a text, given its repeated paths."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    if not paths:
-        return words, len(words)
+def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
+    """The words that stay, given the spans of windows that repeat."""
+    if not spans:
+        return words
     edge = np.zeros(len(words) + WINDOW + 1, np.int64)
-    first = np.array([p["start"] for p in paths], np.int64)
-    last = np.minimum(first + np.array([p["n"] for p in paths], np.int64) - 1 + WINDOW, len(words))
+    first = np.array([p["start"] for p in spans], np.int64)
+    last = np.minimum(first + np.array([p["n"] for p in spans], np.int64) - 1 + WINDOW, len(words))
     ok = first < last
     np.add.at(edge, first[ok], 1)
     np.add.at(edge, last[ok], -1)
     gone = np.cumsum(edge)[: len(words)] > 0
-    return [w for w, g in zip(words, gone.tolist()) if not g], len(words)
+    return [w for w, g in zip(words, gone.tolist()) if not g]
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, with_text, the text of the words that stay."""
+_LOOKED = "doc long, row long, own boolean, start int, n int, s_doc long, s_row long, s_start int, digest binary, n_words long, n_removed long, kept_sha256 string, text string"
+_SPAN = "array<struct<own:boolean,start:int,n:int,s_doc:bigint,s_row:bigint,s_start:int>>"
+
+
+def looked_up(keyed: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
+    """Two sorts of rows: what stays of each document, if all its spans are right (own is null), and a digest of the words of each
+    span, in its document (own) and at its source (not own)."""
+    names = _LOOKED.replace(",", "").split()[::2]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(0, batch.num_rows, 500):
-                part = batch.slice(row, 500)
-                total, gone, digest, texts = [], [], [], []
-                for text, paths in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    left, n = kept_words(text, paths)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                out: list[tuple] = []
+                for doc, row, text, wanted in zip(*(part.column(k).to_pylist() for k in range(4))):
+                    words, wanted = _words(text), wanted or []
+                    for p in wanted:
+                        digest = hashlib.sha256(b" ".join(words[p["start"] : p["start"] + p["n"] + WINDOW - 1])).digest()
+                        out.append((doc, row, p["own"], p["start"], p["n"], p["s_doc"], p["s_row"], p["s_start"], digest, None, None, None, None))
+                    left = kept_words(words, [p for p in wanted if p["own"]])
                     joined = b" ".join(left)
-                    total.append(n)
-                    gone.append(n - len(left))
-                    digest.append(hashlib.sha256(joined).hexdigest())
-                    texts.append(joined.decode("utf-8", "surrogatepass") if with_text else None)
-                columns = [part.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, ["doc", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text)
-
-    keyed = _keyed(docs)
-    marks = repeated_paths(keyed).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
-    rows = keyed.join(marks, ["doc", "row"], "left").select("doc", "text", "paths").mapInArrow(run, "doc long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+                    out.append((doc, row, *[None] * 7, len(words), len(words) - len(left), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "surrogatepass") if with_text else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    own = spans.select("doc", "row", F.struct(F.lit(True).alias("own"), "start", "n", "s_doc", "s_row", "s_start").alias("p"))
+    source = spans.select("s_doc", "s_row", "s_start", "n").distinct()
+    source = source.select(F.col("s_doc").alias("doc"), F.col("s_row").alias("row"), F.struct(F.lit(False).alias("own"), F.col("s_start").alias("start"), "n", "s_doc", "s_row", "s_start").alias("p"))
+    wanted = own.unionByName(source).groupBy("doc", "row").agg(F.collect_list("p").alias("wanted"))
+    return keyed.join(wanted, ["doc", "row"], "left").select("doc", "row", "text", F.col("wanted").cast(_SPAN)).mapInArrow(run, _LOOKED)
+
+
+def told_apart(keyed: DataFrame, wrong: DataFrame) -> DataFrame:
+    """Of spans whose words aren't their source's: the windows that do repeat, compared by their words with all others of such spans and
+    of their sources. Windows of equal words have equal hashes, so an earlier one of the same words is among these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, row, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                words = _words(text)
+                at = sorted({(k, p["own"]) for p in wanted for k in range(p["start"], p["start"] + p["n"])})
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array([k for k, _ in at], pa.int32()), pa.array([o for _, o in at], pa.bool_()), pa.array([b" ".join(words[k : k + WINDOW]) for k, _ in at], pa.binary())], ["doc", "row", "start", "own", "words"])
+
+    own = wrong.select("doc", "row", F.struct(F.lit(True).alias("own"), "start", "n").alias("p"))
+    source = wrong.select(F.col("s_doc").alias("doc"), F.col("s_row").alias("row"), F.struct(F.lit(False).alias("own"), F.col("s_start").alias("start"), "n").alias("p"))
+    wanted = own.unionByName(source).groupBy("doc", "row").agg(F.collect_set("p").alias("wanted"))
+    windows = materialize(keyed.dropDuplicates(["doc", "row"]).join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(run, "doc long, row long, start int, own boolean, words binary"), "windows")
+    first = windows.groupBy("words").agg(F.min(F.struct("doc", "row", "start")).alias("first"))
+    again = windows.where("own").join(first, "words").where(F.struct("doc", "row", "start") > F.col("first"))
+    return again.select("doc", "row", "start", F.lit(1).alias("n"), F.col("first.doc").alias("s_doc"), F.col("first.row").alias("s_row"), F.col("first.start").alias("s_start"))
+
+
+def remove_repeats(docs: DataFrame, with_text: bool = False, hash_bits: int = 64) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, with_text, the text of the words that stay. Fewer hash_bits make hashes of different
+    windows meet, which costs time and changes nothing."""
+    keyed, n = _keyed(docs)
+    spans = materialize(compacted(fragments(keyed, n, hash_bits)), "spans")
+    looked = materialize(looked_up(keyed, spans, with_text), "looked-up")
+    digests = looked.where("own is not null")
+    source = digests.where("not own").select("s_doc", "s_row", "s_start", "n", F.col("digest").alias("s_digest")).distinct()
+    wrong = digests.where("own").join(source, ["s_doc", "s_row", "s_start", "n"]).where("digest <> s_digest").select(*_FRAGMENT)
+    wrong = materialize(wrong, "wrong")
+    results = looked.where("own is null")
+    if not wrong.isEmpty():
+        right = spans.join(wrong, _FRAGMENT, "left_anti").unionByName(told_apart(keyed, wrong))
+        touched = wrong.select("doc", "row").distinct()
+        again = looked_up(keyed.join(touched, ["doc", "row"], "left_semi"), right.join(touched, ["doc", "row"], "left_semi"), with_text).where("own is null")
+        results = results.join(touched, ["doc", "row"], "left_anti").unionByName(again)
     doc_id = F.when(F.col("doc") != F.lit(_NONE).cast("long"), F.col("doc")).alias("doc_id")
-    return rows.select(doc_id, *rows.columns[1:])
+    return results.select(doc_id, "n_words", "n_removed", "kept_sha256", *["text"] * with_text)
 
 
 SQL = r"""

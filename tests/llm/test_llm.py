@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import types
 import zlib
 from collections import Counter, defaultdict
 
@@ -260,15 +261,26 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [8_000_000, 300])
-def test_substring_dedup(spark, monkeypatch, block):
+# With 4 bits nearly all windows' hashes meet others'; with hot grams of two documents windows go one by one; rows are compared in parts.
+@pytest.mark.parametrize(("block", "bits", "hot", "at_once"), [(8_000_000, 64, 10**6, 50_000), (300, 64, 10**6, 7), (300, 4, 10**6, 50_000), (8_000_000, 4, 10**6, 50_000), (100, 64, 2, 50_000)])
+def test_substring_dedup(spark, monkeypatch, block, bits, hot, at_once):
     monkeypatch.setattr(substring_dedup, "BLOCK_CHARS", block)
+    if at_once < 50_000:  # the function itself, by value, so that workers take the constant from here
+        compare = types.FunctionType(substring_dedup._compare.__code__, {**vars(substring_dedup), "ROWS": at_once, "__name__": "compare_in_parts"}, "_compare")
+        monkeypatch.setattr(substring_dedup, "_compare", compare)
+    if hot == 2:
+        def grams(rows, n):
+            hashes = substring_dedup.WordHashes()
+            texts = [substring_dedup._words(r["text"]) for r in rows.select("text").collect()]
+            return np.unique(np.concatenate([np.zeros(0, np.uint64), *[substring_dedup.window_hashes(hashes.of(w))[1] for w in texts if len(w) >= 20]])).view(np.int64)[::2].copy()
+
+        monkeypatch.setattr(substring_dedup, "hot_grams", lambda rows, n: np.sort(grams(rows, n)))
     rnd = random.Random(9)
     vocab = [f"w{i}" for i in range(50)]
     pool = [[rnd.choice(vocab) for _ in range(35)] for _ in range(4)]
     texts = [" ".join(sum([[*pool[rnd.randrange(4)][rnd.randrange(10) :], *[rnd.choice(vocab) for _ in range(rnd.randint(0, 9))]] for _ in range(rnd.randint(0, 4))], [])) for _ in range(40)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(100, "z " * 70), (101, None), (102, ""), (103, "y"), (104, texts[3])]
-    got = {r["doc_id"]: tuple(r)[1:4] for r in substring_dedup.remove_repeats(docs(spark, rows)).collect()}
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, "z " * 70), (101, None), (102, ""), (103, "y"), (104, texts[3]), (105, "q r " * 2000)]
+    got = {r["doc_id"]: tuple(r)[1:4] for r in substring_dedup.remove_repeats(docs(spark, rows), hash_bits=bits).collect()}
     assert got == brute_removed([(d, words20(t)) for d, t in rows])
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
     twice = substring_dedup.remove_repeats(docs(spark, [(1, texts[3]), (1, texts[3]), (None, "a " * 30)]), with_text=True).collect()
