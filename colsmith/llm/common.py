@@ -57,7 +57,7 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) ->
     return few.unionByName(rest)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Memory of what was dropped, to the operating system: workers live on into the next stage."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -75,6 +75,6 @@ def kept(key: tuple, make: Callable):
     if key not in _KEPT:
         if _KEPT:
             _KEPT.clear()
-            _give_back()
+            give_back()
         _KEPT[key] = make()
     return _KEPT[key]

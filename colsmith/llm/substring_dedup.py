@@ -3,12 +3,12 @@
 Every window of WINDOW consecutive words is an edge between two nodes, its first and its last WINDOW - 1 words. To find the edges that
 repeat, windows that follow one another and have the same least gram of MINIMIZER words cross the network as one row under that gram,
 with their coordinates and a 48-bit hash each; under a gram that is hot in a sample of the documents, window by window under their own
-hashes. A repeated edge goes by the coordinates of its first occurrence, and every later occurrence becomes part of a fragment: a walk
-along edges that stand side by side at the source too. Fragments that meet at a node are joined on its coordinates; where one goes on
-with an edge of another name the node branches, and through all other nodes Spark joins compact them into long spans. Each span's words
-are then verified at the source's coordinates by SHA-256 before they count. Windows whose hashes met without their words being equal are
-compared by their words, so hashes never decide. Before the shuffle each worker does the same within blocks of its own text, comparing
-words, so a passage that many documents share sends at most one row a block.
+hashes. Each occurrence of a repeated edge but the first refers to the coordinates of the one before it, its source, and becomes part of a
+fragment: a walk along edges that stand side by side at their source too. Fragments that meet at a node are joined on its coordinates;
+where one goes on with another source the node branches, and through all other nodes Spark joins compact them into long spans. Each
+span's words are then verified at the source's coordinates by SHA-256 before they count. Windows whose hashes met without their words
+being equal are compared by their words, so hashes never decide. Before the shuffle each worker does the same within blocks of its own
+text, comparing words, so a passage that many documents share sends at most one row a block.
 
 Null, empty and short texts have no window: nothing is removed. A very long text is worked out whole, in memory of its own words. A
 null doc_id sorts before all others, and each row without an id is a document of its own, numbered in a stored table. Rows that repeat
@@ -25,20 +25,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colsmith.llm.common import materialize, sub_batches, text_or_empty
-from colsmith.llm.graph import components
+from colsmith.llm.common import give_back, materialize, sub_batches, text_or_empty
 from colsmith.llm.words import WordHashes, longer
 
 WINDOW, MINIMIZER = 20, 8
 #: Characters of text in which a worker looks for repeats before anything is sent.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Bytes of a window's hash that travel with it, and rows that are compared at once.
 HASH_BYTES, ROWS = 6, 50_000
-#: Documents of the sample that tells hot grams, at most and as one in so many; a gram is hot in one of HOT_ONE_IN of them, of twenty at
-#: least. It decides only where windows meet, never what is found.
-HOT_SAMPLE, HOT_EVERY, HOT_ONE_IN = 200_000, 20, 2000
+#: Documents of the sample that tells hot grams, at most and as one in so many, and documents from which on, by the sample, a gram is hot:
+#: more than one task should take. It decides only where windows meet, never what is found.
+HOT_SAMPLE, HOT_EVERY, HOT_DOCS = 200_000, 20, 1_000_000
 _ROW = ["at", "doc", "row", "start", "n", "hashes"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 _FRAGMENT = ["doc", "row", "start", "n", "s_doc", "s_row", "s_start"]
@@ -80,13 +80,12 @@ def _ranks(doc: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _later(doc: np.ndarray, start: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a window with the same group started earlier in (doc, start), the position of the group's first)."""
+    """(whether a window of the same group starts earlier in (doc, start), the position of the one before it)."""
     order = np.lexsort((start, doc, groups))
     g = groups[order]
-    first = np.concatenate([[True], g[1:] != g[:-1]])
-    head = np.empty(len(g), np.int64)
-    head[order] = order[np.flatnonzero(first)][np.cumsum(first) - 1]
-    return (doc != doc[head]) | (start != start[head]), head
+    source = np.empty(len(g), np.int64)
+    source[order] = np.where(np.concatenate([[False], g[1:] == g[:-1]]), np.concatenate([order[:1], order[:-1]]), order)
+    return (doc != doc[source]) | (start != start[source]), source
 
 
 def _steps(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -116,9 +115,9 @@ def block_paths(docs: list[int], rows: list[int], texts: list[str], hashes: Word
     doc, start, g, m = map(np.concatenate, (doc_of, start_of, window, least))
     if hash_bits < 64:
         g &= np.uint64((1 << hash_bits) - 1)
-    later, head = _later(doc, start, g)
+    later, source_at = _later(doc, start, g)
     follows = _steps(doc, start)
-    s_doc, s_start = doc[head], start[head]
+    s_doc, s_start = doc[source_at], start[source_at]
     aligned = follows & _steps(s_doc, s_start) & later & np.concatenate([[False], later[:-1]])
     # What the hashes say repeats is compared word by word; where words differ it is sent like any other.
     text_at = dict(zip(rank.tolist(), texts))
@@ -167,7 +166,7 @@ def _fragments(doc: np.ndarray, row: np.ndarray, start: np.ndarray, s_doc: np.nd
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (at, doc, row, start): the fragments. Of the last key only the first of each window seen stays in memory."""
+    """Rows sorted by (at, doc, row, start): the fragments. Of the last key only the last of each window seen stays in memory."""
     none = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     last, seen = None, none
     for batch in batches:
@@ -192,23 +191,25 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rank, doc_at, row_at = _ranks(doc, row)
             d, k = np.repeat(rank, n), np.repeat(key, n)
             s = np.repeat(start, n).astype(np.int64) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            # Windows of the key that went on from before stand first, under no document; each is the first of its group.
+            # Windows of the key that went on from before stand first, under no document, none equal to another.
             carried = seen if last is not None and at[0] == last else none
             c = len(carried[0])
             w_doc, w_row, w_start = np.concatenate([carried[1], doc_at[d]]), np.concatenate([carried[2], row_at[d]]), np.concatenate([carried[3], s])
             d, s = np.concatenate([np.full(c, -1), d]), np.concatenate([np.arange(c), s])
             k, h = np.concatenate([np.full(c, key[0], np.uint64), k]), np.concatenate([carried[0], h])
-            later, head = _later(d, s, (k << np.uint64(48)) | h)  # at most ROWS + 1 keys: 16 bits
-            stay = (k == k[-1]) & ~later & (head == np.arange(len(head)))
+            later, to = _later(d, s, (k << np.uint64(48)) | h)  # at most ROWS + 1 keys: 16 bits
+            has_next = np.zeros(len(to), bool)
+            has_next[to[to != np.arange(len(to))]] = True
+            stay = (k == k[-1]) & ~has_next
             last, seen = at[-1], (h[stay], w_doc[stay], w_row[stay], w_start[stay])
             # A row that repeats meets its own windows again.
-            later &= (w_doc != w_doc[head]) | (w_row != w_row[head]) | (w_start != w_start[head])
-            to = head[later]
+            later &= (w_doc != w_doc[to]) | (w_row != w_row[to]) | (w_start != w_start[to])
+            to = to[later]
             yield _fragments(w_doc[later], w_row[later], w_start[later], w_doc[to], w_row[to], w_start[to])
 
 
 def hot_grams(rows: DataFrame, n: int) -> np.ndarray:
-    """Least grams that many documents of a sample have, sorted: no more than a document has of them times HOT_ONE_IN."""
+    """Least grams that many documents of a sample have, sorted: at most those of the sample's documents, by twenty."""
     every = max(HOT_EVERY, n // HOT_SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,13 +224,13 @@ def hot_grams(rows: DataFrame, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(count)], ["gram", "n"])
 
     drawn = rows.where(F.pmod(F.xxhash64("doc", "row", F.lit(1)), F.lit(every)) == 0).select("text")
-    most = drawn.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, n // every // HOT_ONE_IN))
+    most = drawn.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, HOT_DOCS // every))
     return np.sort(np.array([r["gram"] for r in most.collect()], np.int64))
 
 
 def fragments(rows: DataFrame, n: int, hash_bits: int = 64) -> DataFrame:
-    """doc, row, start, n and the source's coordinates of _keyed() rows (n of them): runs of windows that, by their hashes, all occurred
-    first in the same order at the source."""
+    """doc, row, start, n and the source's coordinates of _keyed() rows (n of them): runs of windows that, by their hashes, stand in
+    the same order at the source, where they occurred the time before."""
     hot = hot_grams(rows, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,44 +249,51 @@ def fragments(rows: DataFrame, n: int, hash_bits: int = 64) -> DataFrame:
                 if held >= BLOCK_CHARS:
                     yield block_paths(ids, numbers, texts, hashes, hot, hash_bits)
                     ids, numbers, texts, held = [], [], [], 0
+                    give_back()
         if texts:
             yield block_paths(ids, numbers, texts, hashes, hot, hash_bits)
+        ids, numbers, texts = [], [], []
+        hashes.clear()
+        give_back()
 
     paths = rows.withColumn("chars", F.length("text")).mapInArrow(run, "at long, doc long, row long, start int, n int, hashes binary")
     return paths.repartition("at").sortWithinPartitions("at", "doc", "row", "start").mapInArrow(_compare, _FRAGMENT_SCHEMA)
 
 
-def compacted(found: DataFrame) -> DataFrame:
-    """Fragments joined through nodes that don't branch into long spans, of the same columns.
+def compacted(found: DataFrame, repeated: bool = False) -> DataFrame:
+    """Fragments joined through nodes that don't branch into long spans, of the same columns; repeated says that rows may repeat.
 
     An arc leads from a fragment to the one that goes on where it ends. If the source goes on there too the node has one edge in and one
-    out; if not, the node is another source's as well, and both names of it branch.
+    out; if not, the node is another source's as well, and both names of it branch. A fragment without such an arc, or at a node that
+    branches, heads a path; a document's fragments are numbered by the heads among those before them.
     """
-    parts = materialize(found.withColumn("id", F.monotonically_increasing_id()), "fragments")
+    if repeated:
+        found = found.groupBy("doc", "row", "start").agg(F.max(F.struct("n", "s_doc", "s_row", "s_start")).alias("p")).select("doc", "row", "start", "p.*")
+    parts = materialize(found.select(*_FRAGMENT), "fragments")
     node = ["s_doc", "s_row", "s_start"]
-    ends = parts.select("doc", "row", (F.col("start") + F.col("n")).alias("start"), F.col("id").alias("a"), F.col("s_doc").alias("e_doc"), F.col("s_row").alias("e_row"), (F.col("s_start") + F.col("n")).alias("e_start"))
-    arcs = ends.join(parts, ["doc", "row", "start"]).select("a", F.col("id").alias("b"), *node, "e_doc", "e_row", "e_start")
-    arcs = materialize(arcs, "arcs")
+    ends = parts.select("doc", "row", (F.col("start") + F.col("n")).alias("start"), F.col("s_doc").alias("e_doc"), F.col("s_row").alias("e_row"), (F.col("s_start") + F.col("n")).alias("e_start"))
     straight = (F.col("s_doc") == F.col("e_doc")) & (F.col("s_row") == F.col("e_row")) & (F.col("s_start") == F.col("e_start"))
-    bent = arcs.where(~straight)
+    arcs = materialize(parts.join(ends, ["doc", "row", "start"], "left").withColumn("straight", F.coalesce(straight, F.lit(False))), "arcs")
+    bent = arcs.where("not straight and e_doc is not null")
     branching = bent.select(*node).unionByName(bent.select(F.col("e_doc").alias("s_doc"), F.col("e_row").alias("s_row"), F.col("e_start").alias("s_start"))).distinct()
-    roots = components(arcs.where(straight).join(branching, node, "left_anti").select("a", "b")).withColumnRenamed("a", "id")
-    whole = parts.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("path"))
-    n = F.max(F.col("start") + F.col("n")) - F.min("start")  # not the sum: rows that repeat bring their fragments twice
-    return whole.agg(*[F.min(c).alias(c) for c in _FRAGMENT if c != "n"], n.alias("n")).select(*_FRAGMENT)
+    tested = arcs.drop("e_doc", "e_row", "e_start").join(branching.withColumn("branching", F.lit(True)), node, "left")
+    head = F.when(F.col("straight") & F.col("branching").isNull(), 0).otherwise(1)
+    path = F.sum(head).over(W.partitionBy("doc", "row").orderBy("start").rowsBetween(W.unboundedPreceding, 0))
+    n = F.max(F.col("start") + F.col("n")) - F.min("start")
+    return tested.withColumn("path", path).groupBy("doc", "row", "path").agg(F.min("start").alias("start"), n.alias("n"), *[F.min(c).alias(c) for c in node]).select(*_FRAGMENT)
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc, row, text of every row, their number): row tells apart the rows of one doc. It is 0 where ids don't repeat; rows without an id are stored with a number."""
+def _keyed(docs: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(doc, row, text of every row, their number, whether ids repeat): row tells apart the rows of one doc. It is 0 where ids don't repeat; rows without an id are stored with a number."""
     ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.count("*").alias("n"))
     seen = ids.agg(F.sum("n").alias("rows"), F.count(F.when(F.col("doc").isNull(), 1)).alias("none"), F.count(F.when(F.col("doc").isNotNull() & (F.col("n") > 1), 1)).alias("repeated")).first()
     doc = F.col("doc_id").cast("long")
     row = F.xxhash64(text_or_empty()) if seen["repeated"] else F.lit(0).cast("long")
     named = docs.select(doc.alias("doc"), row.alias("row"), text_or_empty().alias("text")).where("doc is not null")
     if not seen["none"]:
-        return named, seen["rows"] or 0
+        return named, seen["rows"] or 0, seen["repeated"] > 0
     bare = docs.where(doc.isNull()).select(F.lit(_NONE).cast("long").alias("doc"), F.monotonically_increasing_id().alias("row"), text_or_empty().alias("text"))
-    return named.unionByName(materialize(bare, "without-id")), seen["rows"]
+    return named.unionByName(materialize(bare, "without-id")), seen["rows"], seen["repeated"] > 0
 
 
 def kept_words(words: list[bytes], spans: list[dict]) -> list[bytes]:
@@ -336,7 +344,8 @@ def looked_up(keyed: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
 
 def told_apart(keyed: DataFrame, wrong: DataFrame) -> DataFrame:
     """Of spans whose words aren't their source's: the windows that do repeat, compared by their words with all others of such spans and
-    of their sources. Windows of equal words have equal hashes, so an earlier one of the same words is among these."""
+    of their sources. Where windows of one hash change from some words to others, the last of the former is a source of such a span, so
+    an earlier one of the same words is among these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,8 +367,8 @@ def told_apart(keyed: DataFrame, wrong: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, with_text: bool = False, hash_bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, the text of the words that stay. Fewer hash_bits make hashes of different
     windows meet, which costs time and changes nothing."""
-    keyed, n = _keyed(docs)
-    spans = materialize(compacted(fragments(keyed, n, hash_bits)), "spans")
+    keyed, n, repeated = _keyed(docs)
+    spans = materialize(compacted(fragments(keyed, n, hash_bits), repeated), "spans")
     looked = materialize(looked_up(keyed, spans, with_text), "looked-up")
     digests = looked.where("own is not null")
     source = digests.where("not own").select("s_doc", "s_row", "s_start", "n", F.col("digest").alias("s_digest")).distinct()
