@@ -17,6 +17,8 @@ from colsmith.session import new_path
 HOT_SHARE = 1 / 1000
 #: Characters of text that a Python worker holds as words at once.
 SUB_BATCH_CHARS = 2_000_000
+#: Rows of (id, digest), about 50 bytes each, up to which they are broadcast, by count; beyond, they meet by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -57,6 +59,12 @@ def join_by_key(rows: DataFrame, facts: DataFrame, key: str, hot: DataFrame) ->
     return few.unionByName(rest)
 
 
+def drop_rows(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows whose (doc_id, key) is in gone, a stored table of _id and _key; key is an expression over docs."""
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (key == gone["_key"]), "left_anti")
+
+
 def give_back() -> None:
     """Memory of what was dropped, to the operating system: workers live on into the next stage."""
     gc.collect()

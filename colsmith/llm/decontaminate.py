@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsmith.llm.common import materialize, text_or_empty
+from colsmith.llm.common import drop_rows, materialize, text_or_empty
 
 WINDOW, K = 10, 5
 #: Bytes of the map of fingerprints at most, as it is part of the plan; beyond, it lets more through, which the join then rejects.
@@ -152,10 +152,9 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = 0.0) -> DataFrame:
     """Documents without a shared window (or of which at most least_share of the words are hit), with all their columns."""
-    bad = hits(docs, benchmark).where("contaminated").where(F.col("n_hit") > F.col("n_words") * least_share).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_text"))
+    bad = hits(docs, benchmark).where("contaminated").where(F.col("n_hit") > F.col("n_words") * least_share).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_key"))
     # With the text's hash, documents that lack an id aren't taken for one another.
-    same = docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == bad["_text"])
-    return docs.join(bad, same, "left_anti")
+    return drop_rows(docs, materialize(bad, "contaminated"), F.xxhash64(text_or_empty()))
 
 
 SQL = r"""

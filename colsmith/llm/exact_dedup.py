@@ -17,11 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsmith.llm.common import hot_keys, join_by_key, materialize, text_or_empty
+from colsmith.llm.common import drop_rows, hot_keys, join_by_key, materialize, text_or_empty
 
 SALTS = 32
-#: Rows of (id, digest), about 50 bytes each, up to which the dropped ones are broadcast, by count; beyond, they meet by shuffle.
-BROADCAST_ROWS = 200_000
 #: A column of our own beside those of the input, whatever they are called.
 _KEY = "__colsmith_text_digest"
 
@@ -73,14 +71,12 @@ def groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; of rows that repeat doc_id and text one stays."""
-    facts = materialize(_groups(docs).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "kept", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).alias("_tied")), "facts")
-    rows = docs.withColumn(_KEY, F.unhex(F.sha2(normalised(text_or_empty()), 256)))
-    gone = facts.where("not kept and not _tied").select("_id", "_digest")
-    n = gone.count()
-    left = rows.join(F.broadcast(gone) if n <= BROADCAST_ROWS else gone, rows["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (rows[_KEY] == gone["_digest"]), "left_anti")
+    facts = materialize(_groups(docs).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_key"), "kept", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ~F.col("kept")).alias("_tied")), "facts")
+    digest = F.unhex(F.sha2(normalised(text_or_empty()), 256))
+    left = drop_rows(docs, facts.where("not kept and not _tied").select("_id", "_key"), digest)
     if not facts.where("_tied").isEmpty():
-        left = left.dropDuplicates(["doc_id", _KEY])
-    return left.drop(_KEY)
+        left = left.withColumn(_KEY, digest).dropDuplicates(["doc_id", _KEY]).drop(_KEY)
+    return left
 
 
 SQL = """

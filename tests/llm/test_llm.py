@@ -64,7 +64,7 @@ NO_IDS = [(None, "no id"), (None, "no  id"), (None, "no id"), (None, "another"),
 @pytest.mark.parametrize(("share", "broadcast"), [(1 / 1000, 10**6), (1, 0)])  # every text of two rows is hot, or none is
 def test_exact_dedup(spark, monkeypatch, share, broadcast):
     monkeypatch.setattr(common, "HOT_SHARE", share)
-    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     rows = ROWS + NO_IDS
     want = brute_copies(rows)
     got = exact_dedup.groups(docs(spark, rows)).collect()
@@ -185,6 +185,58 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def brute_near(rows):
+    """(doc_id, text) of what goes: groups by fingerprints of distinct words, in order of id and digest, five-word shingles decide."""
+    nodes = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest()))
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    import xxhash
+
+    prints = []
+    for _, t in nodes:
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in {w.decode() for w in (t or "").encode().lower().split()}]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h)))
+    group, gone = brute_components(prints, list(range(len(nodes)))), set()
+    stay = defaultdict(list)
+    for k, (node, g) in enumerate(zip(nodes, group)):
+        s = shingles(node[1])
+        if any(len(s & o) >= 0.8 * len(s | o) for o in stay[g]):
+            gone.add(node)
+        else:
+            stay[g].append(s)
+    return gone
+
+
+@pytest.mark.parametrize(("group", "heads", "broadcast"), [(1000, 64, 10**6), (4, 3, 0)])
+def test_near_copies(spark, monkeypatch, group, heads, broadcast):
+    monkeypatch.setattr(simhash, "GROUP_ROWS", group)
+    monkeypatch.setattr(simhash, "HEADS", heads)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
+    rnd = random.Random(12)
+    vocab = [f"v{i}é" for i in range(3000)]
+    rows = []
+    for k in range(12):
+        base = [rnd.choice(vocab) for _ in range(rnd.randint(60, 150))]
+        for j in range(rnd.randint(1, 9)):
+            w = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                w[rnd.randrange(len(w))] = rnd.choice(vocab)
+            rows.append((None if j == 4 else 1000 * j + k, " ".join(w)))
+    rows += [(1, None), (2, ""), (3, " "), (4, "x " * 3000), (5, "x " * 3001), (6, "one two"), (7, "One two"), (8, rows[0][1]), (8, rows[0][1]), (None, rows[0][1]), (None, rows[0][1])]
+    want = brute_near(rows)
+    digest = {hashlib.md5((t or "").encode()).digest(): t or "" for _, t in rows}
+    got = [(r["doc_id"], digest[bytes(r["key"])]) for r in simhash.near_copies(docs(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(d, t or "") for d, t in want} and len(want) > 15
+    left = simhash.keep_one(docs(spark, rows))
+    assert left.columns == docs(spark, []).columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(set(rows) - want)
+    assert simhash.near_copies(docs(spark, [])).count() == 0 and simhash.keep_one(docs(spark, [])).count() == 0
+
+
 def test_keep_one_loses_no_row_without_its_own_id(spark):
     different = [" ".join(random.Random(k).choices([f"v{k}x{i}" for i in range(50)], k=30)) for k in range(5)]
     rows = [(None, different[0]), (None, different[0]), (None, different[1]), (None, different[2]), (7, different[3]), (7, different[4]), (8, different[4])]
