@@ -78,6 +78,12 @@ def give_back() -> None:
 _KEPT: dict = {}
 
 
+def forget() -> None:
+    """Drop what the worker keeps, and give its memory back: at the end of tasks that keep nothing for the next."""
+    _KEPT.clear()
+    give_back()
+
+
 def kept(key: tuple, make: Callable):
     """What a worker keeps between tasks: one operator's caches at a time, so those of a stage before don't stay in memory."""
     if key not in _KEPT:

@@ -21,11 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsmith.llm.common import materialize, sub_batches, text_or_empty
-from colsmith.llm.tokens import BATCH_CHARS, encoder
+from colsmith.llm.common import give_back, materialize, sub_batches, text_or_empty
+from colsmith.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+#: Characters of text that are encoded at once: in a pipeline the stages before have left little of an executor's memory.
+BATCH_CHARS = 1_500_000
+
 
 def cut(length: int, most: int) -> list[int]:
     """Lengths of a document's pieces: all full but for the first."""
@@ -121,6 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                     columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(blobs))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.length(text_or_empty()).alias("chars"))
     return texts.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from colsmith.llm.common import BROADCAST_ROWS, drop_rows, hot_keys, join_by_key, kept, materialize, sub_batches, text_or_empty
+from colsmith.llm.common import BROADCAST_ROWS, drop_rows, forget, give_back, hot_keys, join_by_key, materialize, sub_batches, text_or_empty
 from colsmith.llm.graph import components
 from colsmith.llm.words import WordHashes, mix
 
@@ -104,6 +104,7 @@ def fingerprints(docs: DataFrame, with_key: bool = False, shingle: int = SHINGLE
                 part = batch.slice(a, b - a)
                 found = [part.column(0), pa.array(fingerprints_of(part.column(1).to_pylist(), shingle, distinct).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(found + part.columns[3:], ["doc_id", "fp"] + ["key"] * with_key)
+        forget()
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.length(text_or_empty()).alias("chars"), *[_key().alias("key")] * with_key)
     return rows.mapInArrow(run, "doc_id long, fp long" + ", key binary" * with_key)
@@ -215,6 +216,8 @@ def links(distinct: DataFrame, bits: int = MOST_BITS) -> DataFrame:
                 yield from done(False)
                 bound = INDEX_ROWS + held  # one key of many rows is gathered whole, 16 bytes a row
         yield from done(True)
+        keys, fps = [], []
+        give_back()
 
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
 
@@ -238,9 +241,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 # ---- one document of each group, for pipelines ----
 
 
-def shingle_sets(texts: list[str], shingle: int = NEAR_SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], hashes: WordHashes, shingle: int = NEAR_SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles; fewer words: the whole sequence; none: nothing."""
-    hashes, out = kept(("near-hashes",), WordHashes), []
+    out = []
     for text in texts:
         h = hashes.of(text.encode("utf-8", "surrogatepass").lower().split())
         n = min(shingle, len(h))
@@ -286,12 +289,15 @@ def _members(docs: DataFrame) -> DataFrame:
     wanted = materialize(nodes.join(found, "fp").select("doc_id", "key", "root"), "near-members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(100_000)
         for batch in batches:
             for a, b in sub_batches(np.array(batch.column(4), np.int64)):
                 part = batch.slice(a, b - a)
-                sets = shingle_sets(part.column(3).to_pylist())
+                sets = shingle_sets(part.column(3).to_pylist(), hashes)
                 sizes = pa.array([len(s) for s in sets], pa.int32())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], sizes, pa.array([s.tobytes() for s in sets], pa.binary())], ["root", "doc_id", "key", "size", "shingles"])
+        hashes.clear()
+        forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text")).withColumn("_key", F.unhex(F.md5(F.col("text").cast("binary"))))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
@@ -327,6 +333,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     gone: list[DataFrame] = []
 
     def settle(rows: pa.Table) -> pa.Table:
+        if len(rows) == 1:
+            return rows.slice(0, 0).select(["doc_id", "key"])
         rows, sets = _sorted_sets(rows)
         return rows.take(pa.array(dropped_of(sets), pa.int64())).select(["doc_id", "key"])
 

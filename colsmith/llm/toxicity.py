@@ -49,7 +49,7 @@ POWER = 3
 GAPPED = (0.83, 0.6)
 PART = 20
 #: Characters of text described at once, words that a worker keeps, words compared at once.
-BATCH_CHARS, MOST_WORDS, MATCHED = 3_000_000, 300_000, 15_000
+BATCH_CHARS, MOST_WORDS, MATCHED = 1_500_000, 200_000, 4_000
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
