@@ -26,8 +26,8 @@ from colsmith.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: Characters of text that are encoded at once: in a pipeline the stages before have left little of an executor's memory.
-BATCH_CHARS = 1_500_000
+#: Characters of text that are encoded at once. Fewer need less memory and more time.
+BATCH_CHARS = 4_000_000
 
 
 def cut(length: int, most: int) -> list[int]:
@@ -95,14 +95,14 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return out_bin, out_offset
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32 and, with_ids, the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer)
         for batch in batches:
             chars = np.array(batch.column(2), np.int64)
-            for a, b in sub_batches(chars, BATCH_CHARS):
+            for a, b in sub_batches(chars, batch_chars):
                 part = batch.slice(a, b - a)
                 n, ids = tokens.encode(part.column(1))
                 ends = np.cumsum(n)
@@ -150,6 +150,6 @@ def pack(table: DataFrame, capacity: int = 2048, shard_rows: int = 150_000) -> D
     return full.unionByName(packed)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Documents to placed pieces; with_ids adds each piece's ids (array<int>), ready to be written in order of sequence and offset."""
-    return pack(materialize(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces"), capacity)
+    return pack(materialize(pieces(docs, tokenizer, capacity, end_id, with_ids, batch_chars), "pieces"), capacity)
