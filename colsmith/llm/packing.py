@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsmith.llm.common import give_back, materialize, sub_batches, text_or_empty
-from colsmith.llm.tokens import encoder
+from colsmith.llm.tokens import MOST_PIECES, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -95,11 +95,11 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return out_bin, out_offset
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, batch_chars: int = BATCH_CHARS, most_pieces: int = MOST_PIECES) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32 and, with_ids, the ids themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer)
+        tokens = encoder(tokenizer, most_pieces)
         for batch in batches:
             chars = np.array(batch.column(2), np.int64)
             for a, b in sub_batches(chars, batch_chars):
@@ -150,6 +150,6 @@ def pack(table: DataFrame, capacity: int = 2048, shard_rows: int = 150_000) -> D
     return full.unionByName(packed)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, batch_chars: int = BATCH_CHARS, most_pieces: int = MOST_PIECES) -> DataFrame:
     """Documents to placed pieces; with_ids adds each piece's ids (array<int>), ready to be written in order of sequence and offset."""
-    return pack(materialize(pieces(docs, tokenizer, capacity, end_id, with_ids, batch_chars), "pieces"), capacity)
+    return pack(materialize(pieces(docs, tokenizer, capacity, end_id, with_ids, batch_chars, most_pieces), "pieces"), capacity)

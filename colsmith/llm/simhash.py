@@ -99,6 +99,7 @@ def fingerprints(docs: DataFrame, with_key: bool = False, shingle: int = SHINGLE
     """doc_id, fp (the fingerprint's bits as a signed long) and, with_key, the digest of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # what another operator's tasks have kept in this worker
         for batch in batches:
             for a, b in sub_batches(np.array(batch.column(2), np.int64)):
                 part = batch.slice(a, b - a)

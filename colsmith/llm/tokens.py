@@ -24,6 +24,8 @@ _PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 #: Characters of text that are cut and encoded at once.
 BATCH_CHARS = 4_000_000
+#: Pieces that a worker keeps. Fewer need less memory and more time.
+MOST_PIECES = 500_000
 
 
 def _byte_letters() -> dict[int, int]:
@@ -35,7 +37,7 @@ def _byte_letters() -> dict[int, int]:
 class Encoder:
     """Same ids as Tokenizer.encode(text, add_special_tokens=False), text by text, with bounded caches."""
 
-    def __init__(self, path: str, most_pieces: int = 500_000) -> None:
+    def __init__(self, path: str, most_pieces: int = MOST_PIECES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -125,6 +127,6 @@ class Encoder:
         return size, out
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_pieces: int = MOST_PIECES) -> Encoder:
     """This worker's encoder; tasks that follow one another in a worker go on with its caches."""
-    return kept(("encoder", path), lambda: Encoder(path))
+    return kept(("encoder", path, most_pieces), lambda: Encoder(path, most_pieces))

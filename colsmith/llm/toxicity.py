@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colsmith.llm.common import kept, materialize, sub_batches, text_or_empty
+from colsmith.llm.common import forget, give_back, kept, materialize, sub_batches, text_or_empty
 
 FIT_ROWS = 6000
 LANDMARKS, ORDER, DECAY, SHARED, FLOOR = 64, 3, 0.6, 0.6, 0.25
@@ -49,7 +49,7 @@ POWER = 3
 GAPPED = (0.83, 0.6)
 PART = 20
 #: Characters of text described at once, words that a worker keeps, words compared at once.
-BATCH_CHARS, MOST_WORDS, MATCHED = 1_500_000, 200_000, 4_000
+BATCH_CHARS, MOST_WORDS, MATCHED = 500_000, 200_000, 4_000
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -113,7 +113,7 @@ class Matcher:
 
     def reset(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.rows = [np.zeros(len(self.landmarks), np.float32)]
+        self.rows = np.zeros((1, len(self.landmarks)), np.float32)
 
     @staticmethod
     def norm(codes: np.ndarray) -> np.ndarray:
@@ -156,12 +156,8 @@ class Matcher:
             bare = ["".join(filter(str.isalnum, w)) for w in new]  # marks put into a word don't count
             found = self.match(bare)
             hit = found.any(axis=1)
-            for w, h, row in zip(new, hit.tolist(), found):
-                if h:
-                    self.rows.append(row)
-                    known[w] = len(self.rows) - 1
-                else:
-                    known[w] = 0
+            known.update(zip(new, np.where(hit, len(self.rows) - 1 + np.cumsum(hit), 0).tolist()))
+            self.rows = np.concatenate([self.rows, found[hit]])
         return np.fromiter((known[w] for w in raw), np.int64, len(raw))
 
     def describe(self, texts: pa.Array) -> np.ndarray:
@@ -183,7 +179,7 @@ class Matcher:
         hit = np.flatnonzero(row)
         doc = np.searchsorted(offsets, hit, side="right") - 1
         if len(hit):
-            found = np.array(self.rows)[row[hit]]
+            found = self.rows[row[hit]]
             np.maximum.at(out, doc, found)
             np.add.at(sums, doc, found**SHARPER)
         # Runs of three or more single letters, as one word.
@@ -272,6 +268,7 @@ def _described(rows: DataFrame, landmarks: list[str], finish: Callable, schema:
             for a, b in sub_batches(np.array(batch.column(2), np.int64), BATCH_CHARS):
                 part = batch.slice(a, b - a)
                 yield finish(part, matcher.describe(texts(part)))
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -281,6 +278,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     copies, which mostly share the least hash over their pairs of neighbouring words; that hash stands for the text."""
     from xxhash import xxh64_intdigest
 
+    forget()  # what another operator's tasks have kept in this worker
     for batch in batches:
         toxic, family, word = [], [], []
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -330,7 +328,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
     classes = [r["toxic"] for r in chosen]
     if len(set(classes)) < 2:
         return float(np.mean(classes)) if classes else 0.0
-    picked = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "_id long, toxic int").dropDuplicates(["_id"])
+    # An Arrow table, as a list would start Python workers of another kind beside those that the operators use, which stay.
+    table = pa.table({"_id": pa.array([r["doc_id"] for r in chosen], pa.int64()), "toxic": pa.array(classes, pa.int32())})
+    picked = spark.createDataFrame(table).dropDuplicates(["_id"])
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text"))
     sample = materialize(texts.join(F.broadcast(picked), "_id").select("toxic", "text", F.length("text").alias("chars")), "labelled")  # at most fit_rows rows are broadcast
 

@@ -31,8 +31,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # The stages before have left little of an executor's memory, so the tokenizer takes less text at once.
-    return packing.pack_documents(docs, tokenizer_path(), batch_chars=1_500_000)
+    # The stages before have left little of an executor's memory, so the tokenizer takes less text at once and keeps fewer pieces.
+    return packing.pack_documents(docs, tokenizer_path(), batch_chars=500_000, most_pieces=150_000)
 
 
 STAGES = [

@@ -705,3 +705,32 @@ def test_pipeline(spark, sf, tmp_path):
     empty = d.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_toxicity_starts_no_python_workers_of_its_own_kind(spark, monkeypatch):
+    rows = [(i, "grumbling sweeps over" if i % 2 else "the quiet hill") for i in range(40)]
+    d, labels = docs(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int").localCheckpoint()
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("a list became an RDD of Python rows"))
+    assert not isinstance(toxicity.fit(d, labels), float)
+
+
+def test_toxicity_leaves_memory(monkeypatch):
+    run = lambda finish: toxicity._described(types.SimpleNamespace(mapInArrow=lambda f, _: f), ["pathetic", "moron"], finish, "")
+    monkeypatch.setattr(common, "_KEPT", {("encoder",): 1})
+    assert list(toxicity._words(iter([]))) == [] and not common._KEPT  # what packing has kept goes when the next run begins
+    texts = [" ".join(f"{k}q{i}z" for i in range(1500)) + " pathetic" for k in range(200)]
+    batch = pa.record_batch([pa.array(range(200)), pa.array(texts), pa.array([len(t) for t in texts])], ["id", "text", "chars"])
+    chars = [sum(map(len, part.column(1).to_pylist())) for part, _ in run(lambda part, x: (part, x[:, 0].tolist()))(iter([batch]))]
+    assert sum(chars) == sum(map(len, texts)) and max(chars) <= 600_000
+    matcher = common._KEPT[("matcher", "pathetic", "moron")]
+    held = {id(o): o.nbytes for r in matcher.rows for o in (r if r.base is None else r.base,)}
+    assert sum(held.values()) <= 2 * 2 * 4  # one word's row besides the empty one, not the rows of all words
+
+
+def test_encoder_keeps_few_pieces_where_asked():
+    texts = [pa.array([f"w{k}x{i} and y{i}" for i in range(50)]) for k in range(6)]
+    few, many = tokens.encoder(tokenizer_path(), 60), tokens.Encoder(tokenizer_path())
+    for t in texts:
+        got, want = few.encode(t), many.encode(t)
+        assert all(np.array_equal(a, b) for a, b in zip(got, want)) and len(few.slots) <= 60 + 2 * 150
+    assert len(many.slots) > 350
