@@ -90,8 +90,8 @@ class Ordered:
             self.df = self.df.withColumn(name, total + start)
             return self
         sums = self.df.select("_bucket", value.cast("long").alias("_v")).groupBy("_bucket").agg(F.sum("_v").alias("_s"))
-        before = sums.select("_bucket", (F.sum("_s").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).alias("_before"))
-        self.df = self._across(self._placed().withColumn(name, total), before).withColumn(name, F.col(name) + F.col("_before") + start).drop("_before")
+        before = sums.select("_bucket", (F.sum("_s").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_s")).alias("_carried"))
+        self.df = self._across(self._placed().withColumn(name, total), before).withColumn(name, F.col(name) + F.col("_carried") + start).drop("_carried")
         return self
 
     def previous(self, name: str, value: Column) -> Ordered:
@@ -102,9 +102,9 @@ class Ordered:
         if self.whole:
             self.df = self.df.withColumn(name, F.lag(boxed).over(self.window))
             return self
-        last = self.df.groupBy("_bucket").agg(F.max_by(boxed, F.struct(*self.by)).alias("_last"))
-        last = last.select("_bucket", F.lag("_last").over(W.orderBy("_bucket")).alias("_last"))
-        self.df = self._across(self._placed().withColumn(name, F.lag(boxed).over(self.window)), last).withColumn(name, F.coalesce(name, "_last")).drop("_last")
+        last = self.df.groupBy("_bucket").agg(F.max_by(boxed, F.struct(*self.by)).alias("_carried"))
+        last = last.select("_bucket", F.lag("_carried").over(W.orderBy("_bucket")).alias("_carried"))
+        self.df = self._across(self._placed().withColumn(name, F.lag(boxed).over(self.window)), last).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
         return self
 
     def done(self) -> DataFrame:

@@ -1,5 +1,6 @@
 """The operators on small literal tables: inputs, operation, expected rows."""
 
+import functools
 import math
 
 import pytest
@@ -462,3 +463,12 @@ def test_comparator_registry_and_null():
         Comparator.parse("nothing")
     with pytest.raises(ValueError):
         Comparator.parse("float.bad")
+
+
+@pytest.mark.parametrize("which,first", [("first", [0, 2, 6]), ("last", [1, 5, 9]), ("min,value,float", [1, 3, 7]), ("max,value,float", [0, 2, 6])])
+def test_runs_across_buckets(spark, monkeypatch, which, first):
+    """A previous row and a running total over one table of several buckets."""
+    monkeypatch.setattr("colsmith.operators.unique.Ordered", functools.partial(Ordered, small=1, buckets=4))
+    df = spark.createDataFrame([(i, "ab"[i in (2, 3, 4, 5)], float([9, 1, 9, 1, 5, 5, 9, 1, 5, 5][i])) for i in range(10)], "id long, kind string, value double")
+    out = unique(df, ["kind"], ["id"], which=which, count="n,begin", after=["ids,id,merge"])
+    assert [tuple(r) for r in out.orderBy("id").select("n", "id", "ids").collect()] == list(zip([2, 4, 4], first, ["0,1", "2,3,4,5", "6,7,8,9"]))
