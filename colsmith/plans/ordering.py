@@ -1,9 +1,9 @@
 """Row order on an unordered engine: numbering, running totals and previous rows without a window over the whole table.
 
 Rows are cut into buckets at bounds of the order keys, taken from a hash sample of bounded size; the number of buckets follows the
-number of rows. The bounds are one sorted array, collected once, and a row finds its bucket by binary search, so a bucket is a
-function of the row alone and every stage and every retry agrees on it. Keys may be of any ordered type (structs and arrays too), each
-ascending or descending. Windows run within buckets; one small row a bucket (its total, its last row) carries what goes across.
+number of rows. The bounds are one sorted array, collected once and a constant of the plan, and a row finds its bucket by binary
+search, so a bucket is a function of the row alone and every stage and every retry agrees on it. Keys may be of any ordered type
+(structs and arrays too), each ascending or descending. Windows run within buckets; one small row a bucket (its total, its last row) carries what goes across.
 Tables of up to SMALL rows, by count, are one bucket.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-#: Rows that one window takes at once without buckets; rows of a bucket; buckets at most; sampled keys a bucket.
-SMALL, ROWS, MOST, SAMPLED = 100_000, 1_000_000, 50_000, 8
+#: Rows that one window takes at once without buckets; rows of a bucket, at most and, where partitions are many, at least; buckets at most; sampled keys a bucket.
+SMALL, ROWS, LEAST, MOST, SAMPLED = 100_000, 1_000_000, 10_000, 50_000, 8
 
 
 def _after(names: Sequence[str], down: Collection[str], bound: Column) -> Column:
@@ -33,14 +33,25 @@ def _after(names: Sequence[str], down: Collection[str], bound: Column) -> Column
     return found
 
 
+def _constant(df: DataFrame) -> Column:
+    """The array in a table of one row and column, as one constant of a plan: a subquery would run wherever it stands."""
+    expressions = df.sparkSession._jvm.org.apache.spark.sql
+    value = df._jdf.queryExecution().executedPlan().executeCollect()[0].getArray(0)
+    return Column(expressions.classic.ExpressionUtils.column(expressions.catalyst.expressions.Literal(value, df._jdf.schema().apply(0).dataType())))
+
+
 def _bucketed(df: DataFrame, names: Sequence[str], down: Collection[str], bounds: Column, n: int) -> DataFrame:
-    """Adds _bucket, the number of bounds (sorted, n of them) that a row's keys come after: a binary search by halving steps."""
-    df = df.withColumn("_bucket", F.lit(0))
-    for k in range(n.bit_length() - 1, -1, -1):
-        there = F.col("_bucket") + (1 << k)
-        past = (there <= n) & _after(names, down, F.element_at(bounds, F.least(there, F.lit(n))))
-        df = df.withColumn("_bucket", F.when(past, there).otherwise(F.col("_bucket")))
-    return df
+    """Adds _bucket, the number of bounds (sorted, n of them) that a row's keys come after: a binary search by halving steps.
+
+    The steps are a fold, so bounds, a constant, stand in the plan once however many there are.
+    """
+
+    def step(at: Column, size: Column) -> Column:
+        past = F.transform(F.slice(bounds, at + size, F.lit(1)), lambda bound: _after(names, down, bound))  # empty beyond the last
+        return F.when(F.coalesce(F.get(past, F.lit(0)), F.lit(False)), at + size).otherwise(at)
+
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
+    return df.withColumn("_bucket", F.aggregate(steps, F.lit(0), step))
 
 
 class Ordered:
@@ -57,7 +68,7 @@ class Ordered:
             self.df = df.withColumn("_bucket", F.lit(0))
             return
         spark = df.sparkSession
-        parts = buckets or min(MOST, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / ROWS)))
+        parts = buckets or min(MOST, max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / LEAST)), math.ceil(n / ROWS)))
         every = max(1, n // (SAMPLED * parts))
         # Rows, not keys, are drawn: a key that repeats isn't drawn as a whole. About SAMPLED keys a bucket come to the driver.
         drawn = df.select(*self.by).where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(every)) == 0)
@@ -69,8 +80,8 @@ class Ordered:
             return
         self.parts = len(bounds) + 1
         kind = StructType([StructField("b", ArrayType(drawn.schema))])
-        one = spark.createDataFrame([(bounds,)], kind).select("b")
-        self.df = _bucketed(df, self.by, self.down, one.scalar(), len(bounds))
+        one = spark.createDataFrame([(bounds,)], kind)
+        self.df = _bucketed(df, self.by, self.down, _constant(one), len(bounds))
 
     def _placed(self) -> DataFrame:
         """The rows by bucket, in as many partitions as there are buckets: none holds more than a few of them."""

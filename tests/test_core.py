@@ -472,3 +472,13 @@ def test_runs_across_buckets(spark, monkeypatch, which, first):
     df = spark.createDataFrame([(i, "ab"[i in (2, 3, 4, 5)], float([9, 1, 9, 1, 5, 5, 9, 1, 5, 5][i])) for i in range(10)], "id long, kind string, value double")
     out = unique(df, ["kind"], ["id"], which=which, count="n,begin", after=["ids,id,merge"])
     assert [tuple(r) for r in out.orderBy("id").select("n", "id", "ids").collect()] == list(zip([2, 4, 4], first, ["0,1", "2,3,4,5", "6,7,8,9"]))
+
+
+def test_bounds_of_buckets_stand_in_the_plan_once(spark):
+    """A subquery a bound would run in every step of the search; the bounds are one constant, found by one fold."""
+    df = spark.range(3000).select("id", (F.col("id") % 7).alias("k"), F.when(F.col("id") % 5 > 0, F.format_string("%d.5", F.col("id") % 11)).alias("v"))
+    o = Ordered(df.withColumn("s", F.struct(F.length("v").alias("n"), "v")), ["k", "s", "id"], small=1, buckets=300, down={"k", "s"}).running("rn")
+    plan = o.done()._jdf.queryExecution().optimizedPlan().toString()
+    assert "subquery" not in plan and plan.count("_bucket") < 30 and o.df.select("_bucket").distinct().count() > 100
+    want = F.row_number().over(Window.orderBy(F.col("k").desc(), F.col("s").desc_nulls_last(), "id"))
+    assert o.done().withColumn("want", want).where("rn <> want").count() == 0
