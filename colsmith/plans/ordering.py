@@ -47,8 +47,8 @@ def _bucketed(df: DataFrame, names: Sequence[str], down: Collection[str], bounds
     """
 
     def step(at: Column, size: Column) -> Column:
-        past = F.transform(F.slice(bounds, at + size, F.lit(1)), lambda bound: _after(names, down, bound))  # empty beyond the last
-        return F.when(F.coalesce(F.get(past, F.lit(0)), F.lit(False)), at + size).otherwise(at)
+        past = F.transform(F.array(F.get(bounds, at + size - 1)), lambda bound: _after(names, down, bound))
+        return F.when((at + size <= n) & F.get(past, F.lit(0)), at + size).otherwise(at)
 
     steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length() - 1, -1, -1)])
     return df.withColumn("_bucket", F.aggregate(steps, F.lit(0), step))
