@@ -44,7 +44,10 @@ def plain(x: Column, places: int | None = None) -> Column:
     mid = F.concat(F.substring(digits, F.lit(1), exp + 1), F.lit("."), F.substring(digits, exp + 2, n))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), digits)
     body = F.when(x == 0, "0").when(exp < 0, small).when(n <= exp + 1, big).otherwise(mid)
-    return _special(x, F.concat(_sign(x), body))
+    # From 0.001 to 10,000,000 the shortest form has no exponent and is the text itself; only other numbers are taken apart.
+    text, a = x.cast("string"), F.abs(x)
+    bare = F.when(F.endswith(text, F.lit(".0")), F.substring(text, F.lit(1), F.char_length(text) - 2)).otherwise(text)
+    return F.when((a >= 0.001) & (a < 1e7), bare).otherwise(_special(x, F.concat(_sign(x), body)))
 
 
 def floating(x: Column, places: int | None = None) -> Column:

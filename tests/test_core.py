@@ -482,3 +482,12 @@ def test_bounds_of_buckets_stand_in_the_plan_once(spark):
     assert "subquery" not in plan and plan.count("_bucket") < 30 and o.df.select("_bucket").distinct().count() > 100
     want = F.row_number().over(Window.orderBy(F.col("k").desc(), F.col("s").desc_nulls_last(), "id"))
     assert o.done().withColumn("want", want).where("rn <> want").count() == 0
+
+
+def test_plain_takes_few_numbers_apart(spark):
+    """Numbers whose text has no exponent are written as they are, without a pattern; all others as before."""
+    cases = {1.0: "1", -1.5: "-1.5", 0.001: "0.001", -0.001: "-0.001", 0.00099: "0.00099", 9999999.0: "9999999", 9999999.5: "9999999.5", 1e7: "10000000", 12345678.25: "12345678.25", -0.0: "-0", 100.0: "100", 0.1: "0.1", 1e-7: "0.0000001", math.inf: "inf", math.nan: "NaN"}
+    df = spark.createDataFrame([(x, w) for x, w in cases.items()], "x double, want string").withColumn("got", numfmt.plain(F.col("x")))
+    assert [tuple(r) for r in df.where("NOT got <=> want").collect()] == [] and df.where(numfmt.plain(F.lit(None).cast("double")).isNotNull()).count() == 0
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("1.0E7") < plan.index("regexp_extract")
