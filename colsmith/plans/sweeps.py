@@ -397,6 +397,19 @@ def _moved(spark, path: str, to: str) -> None:
     fs.rename(part, P(to))
 
 
+def _joined(spark, path: str, to: str) -> None:
+    """A folder's parts, in order, as one file; they pass through a buffer of fixed size."""
+    P, copy = spark._jvm.org.apache.hadoop.fs.Path, spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    fs = P(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(P(to))
+    for name in sorted(n for s in fs.listStatus(P(path)) if (n := s.getPath().getName()).startswith("part-")):
+        part = fs.open(P(path, name))
+        copy(part, out, 1 << 20, False)
+        part.close()
+    out.close()
+    fs.delete(P(path), True)
+
+
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS c1, n_name AS c2 FROM nation")
 def file_gzip_misnamed(spark, sf):
     df = t(spark, sf, "nation").select("n_nationkey", "n_name").coalesce(1)
@@ -414,12 +427,12 @@ _ORDER_LINE = "o_orderkey || ',' || o_orderstatus || ',' || o_orderpriority"
 )
 def file_crlf_bom_location(spark, sf):
     """A byte order mark, lines that end in two characters, and each line's number and place."""
-    df = t(spark, sf, "orders").orderBy("o_orderkey").coalesce(1)
+    df = t(spark, sf, "orders").orderBy("o_orderkey")
     line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", "o_orderpriority")
     first = F.when(F.col("o_orderkey") == F.lit(t(spark, sf, "orders").agg(F.min("o_orderkey")).first()[0]), F.lit("﻿")).otherwise(F.lit(""))
     path = new_path(spark, "crlf")
     df.select(F.concat(first, line).alias("value")).write.option("lineSep", "\r\n").text(path)
-    _moved(spark, path, f"{path}.csv")
+    _joined(spark, path, f"{path}.csv")
     df = flt.location(scan.read_text(spark, f"{path}.csv", "whole"), "bytes,line")
     return df.select("line", "bytes", F.col("_line").alias("value"))
 

@@ -491,3 +491,13 @@ def test_plain_takes_few_numbers_apart(spark):
     assert [tuple(r) for r in df.where("NOT got <=> want").collect()] == [] and df.where(numfmt.plain(F.lit(None).cast("double")).isNotNull()).count() == 0
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("1.0E7") < plan.index("regexp_extract")
+
+
+def test_parts_joined_in_order(spark, tmp_path):
+    """Sorted parts of several tasks become one file; no task has it all."""
+    from colsmith.plans.sweeps import _joined
+
+    path = f"{tmp_path}/parts"
+    spark.range(25).repartitionByRange(4, "id").sortWithinPartitions("id").select(F.format_string("%02d", "id").alias("value")).write.option("lineSep", "\r\n").text(path)
+    _joined(spark, path, f"{path}.csv")
+    assert open(f"{path}.csv", newline="").read() == "".join(f"{i:02d}\r\n" for i in range(25))
